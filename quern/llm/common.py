@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Prefix of internal columns: extra columns of the caller's can't clash with them.
 Q = "__quern_"
@@ -45,7 +46,7 @@ def row_id() -> Column:
     return F.monotonically_increasing_id()
 
 
-def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """f over Arrow batches. Memory is bounded by a batch: the session's limit of records (and bytes) a batch."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

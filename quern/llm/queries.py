@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import simhash
+from quern.llm import bpe, exact_dedup, simhash, token_counts
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -17,9 +18,21 @@ def op1_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, d, "documents"))
 
 
+def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_table(spark, d, "documents"))
+
+
+def op7_bpe(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.digests(_table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op7_bpe, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_dedup": exact_dedup.SQL}
