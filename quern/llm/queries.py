@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, exact_dedup, mixing, simhash, token_counts, toxicity
+from quern.llm import bpe, exact_dedup, mixing, secrets, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_table(spark, d, "documents"), copy="copy", key="shuffle_key")
 
 
+def op6_secrets(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.digests(_table(spark, d, "documents"))
+
+
 def op7_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.digests(_table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -39,8 +43,8 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_toxicity, op5_mixing, op7_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_toxicity, op5_mixing, op6_secrets, op7_bpe, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op6_secrets": secrets.SQL}
