@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,8 +48,9 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_toxicity, op5_mixing, op6_secrets, op7_bpe, op9_line_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_toxicity, op5_mixing, op6_secrets, op7_bpe, op9_line_dedup, op10_token_counts)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op6_secrets": secrets.SQL}
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return pipeline | {"op2_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op6_secrets": secrets.SQL}
