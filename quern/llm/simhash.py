@@ -87,18 +87,22 @@ def _signed(x: int) -> int:
 
 def links(fps: DataFrame, fp: str = f"{Q}fp") -> DataFrame:
     """(a, b): verified links that join what lies within 3 bits of each other. fps: distinct fingerprints."""
-    one = [0, *(_signed(1 << i) for i in range(64))]
-    two = [_signed(1 << i | 1 << j) for h in (0, 32) for i in range(h, h + 32) for j in range(i + 1, h + 32)]
+    # The fingerprints are few bytes and their points many: each of these partitions emits its own.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fp)
+    one = F.explode(F.array(*[F.lit(m).cast("long") for m in [0, *(_signed(1 << i) for i in range(64))]]))
+    # A pair of bits i and j is the number 64 i + j. Rows hold it instead of the point, which it gives with the
+    # fingerprint: rows then differ in two bytes from the one before, and compress to 7.5 bytes each.
+    two = F.explode(F.array(*[F.lit(64 * i + j).cast("short") for h in (0, 32) for i in range(h, h + 32) for j in range(i + 1, h + 32)]))
 
-    def emit(df: DataFrame, masks: list[int]) -> DataFrame:
-        around = F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))
-        return df.select(F.col(fp).alias("x"), around.alias("m")).select("x", F.col("x").bitwiseXOR(F.col("m")).alias("k"))
+    def emit(df: DataFrame) -> DataFrame:
+        return df.select(F.col(fp).alias("x"), one.alias("m")).select("x", F.col("x").bitwiseXOR(F.col("m")).alias("k"))
 
     even = F.bit_count(fp) % 2 == 0
-    near = emit(fps, one)
-    chain = near.selectExpr("x AS a", "k", "lag(x) OVER (PARTITION BY k ORDER BY x) AS b").filter("b IS NOT NULL")
-    centres = emit(fps.filter(even), one).groupBy("k").agg(F.min("x").alias("b"))
-    far = emit(fps.filter(~even), two).withColumnRenamed("x", "a").join(centres.hint("shuffle_hash"), "k")
+    chain = emit(fps).selectExpr("x AS a", "k", "lag(x) OVER (PARTITION BY k ORDER BY x) AS b").filter("b IS NOT NULL")
+    centres = emit(fps.filter(even)).groupBy("k").agg(F.min("x").alias("b"))
+    far = fps.filter(~even).select(F.col(fp).alias("a"), two.alias("ij"))
+    point = F.expr("a ^ (shiftleft(1L, cast(ij AS int) >> 6) | shiftleft(1L, cast(ij AS int) & 63))")
+    far = far.join(centres.hint("shuffle_hash"), point == F.col("k"))
     found = chain.select("a", "b").union(far.select("a", "b"))
     return found.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
@@ -120,7 +124,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     """
     fps = cut(with_fingerprints(docs, text, id))
     g = cut(grouped(fps))
-    names = g.groupBy(f"{Q}root").agg(F.min(f"{Q}id").alias(f"{Q}component"))
+    # Cut, so that both sides of the join are shuffled for it alone and a hot component's rows can be split.
+    names = cut(g.groupBy(f"{Q}root").agg(F.min(f"{Q}id").alias(f"{Q}component")))
     digits = F.lower(F.lpad(F.hex(f"{Q}fp"), 16, "0"))
     return g.join(names, f"{Q}root").select(F.col(f"{Q}id").alias("doc_id"), digits.alias("fingerprint"), F.col(f"{Q}component").alias("component_id"))
 
