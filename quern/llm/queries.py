@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, exact_dedup, line_dedup, mixing, secrets, simhash, token_counts, toxicity
+from quern.llm import bpe, exact_dedup, language, line_dedup, mixing, secrets, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.digests(_table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_language(spark: SparkSession, d: str) -> DataFrame:
+    return language.identify(_table(spark, d, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup.without_recurring(_table(spark, d, "documents").select("doc_id", "text"), counts=("n_lines", "n_dropped"))
 
@@ -48,7 +52,7 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_toxicity, op5_mixing, op6_secrets, op7_bpe, op9_line_dedup, op10_token_counts)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_toxicity, op5_mixing, op6_secrets, op7_bpe, op8_language, op9_line_dedup, op10_token_counts)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
