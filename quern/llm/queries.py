@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, exact_dedup, language, line_dedup, mixing, secrets, simhash, token_counts, toxicity
+from quern.llm import bpe, exact_dedup, language, line_dedup, mixing, neighbours, secrets, simhash, token_counts, toxicity
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, d, "documents"))
 
 
+def op3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, d, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.classify(_table(spark, d, "documents"), _table(spark, d, "labels"))
 
@@ -52,7 +56,7 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op4_toxicity, op5_mixing, op6_secrets, op7_bpe, op8_language, op9_line_dedup, op10_token_counts)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_neighbours, op4_toxicity, op5_mixing, op6_secrets, op7_bpe, op8_language, op9_line_dedup, op10_token_counts)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,74 @@
+import math
+import random
+
+import numpy as np
+import pytest
+
+from quern.llm import neighbours, queries
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "vec_id long, embedding array<float>, label int, v string, n int"
+
+
+def plain(rows, k=10, every=100):
+    """[(query_id, rank, vec_id, score)] by comparing all."""
+    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = []
+    for j, (q, v) in enumerate(ok):
+        if q % every == 0:
+            found = sorted((float(np.sqrt(((w - v) ** 2).sum())), i) for m, (i, w) in enumerate(ok) if m != j and len(w) == len(v))[:k]
+            out += [(q, n + 1, i, d) for n, (d, i) in enumerate(found)]
+    return sorted(out)
+
+
+def close(got, want):
+    got = sorted(map(tuple, got))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12, atol=0)
+
+
+def test_recall_on_the_whole_table(spark):
+    got = queries.queries()["op3_neighbours"](spark, SF).collect()
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    want = plain(rows)
+    assert len(got) == len(want) and {(r["query_id"], r["rank"]) for r in got} == {w[:2] for w in want}
+    hits = {(r["query_id"], r["vec_id"]) for r in got} & {(w[0], w[2]) for w in want}
+    assert len(hits) / len(want) >= 0.9
+    at = {i: np.array(v, float) for i, v in rows}
+    assert all(r["score"] == pytest.approx(np.linalg.norm(at[r["query_id"]] - at[r["vec_id"]]), rel=1e-12) for r in got)
+
+
+@pytest.mark.parametrize("shard, block", [(8192, 2048), (40, 3)])
+def test_exact_when_all_are_candidates(spark, shard, block):
+    r = random.Random(4)
+    rows = [(i, [r.choice([-1.0, 0.5, 2.0]) for _ in range(4)]) for i in range(300)]  # ties and equal vectors
+    rows += [(500 + i, [1.0, 1.0, 1.0, 1.0]) for i in range(200)] + [(800, [1.0, 1.0, 1.0, 1.0])]  # a hot vector
+    rows += [(900, [1.0, 2.0]), (901, [1.5, 2.0]), (1000, None), (1100, []), (1200, [0.0] * 4), (1300, [1.0, None, 1.0, 1.0]), (1400, [float("nan")] * 4), (1500, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (1600, [3.0, 3.0, 3.0])]
+    df = spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], SCHEMA)
+    close(neighbours.nearest(df, gather=float("inf"), shard=shard, block=block).collect(), plain(rows))
+
+
+def test_repeated_rows_and_empty_tables(spark):
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (7, [0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], SCHEMA)
+    close(neighbours.nearest(df).collect(), plain(rows))
+    assert neighbours.nearest(df.limit(0)).count() == 0
+    assert neighbours.nearest(df.filter("vec_id = 7")).count() == 0
+    assert neighbours.nearest(df.filter("vec_id = 100").limit(1)).count() == 0
+
+
+def test_ascent_is_one_level_for_all_trees():
+    x = np.random.default_rng(1).normal(size=(500, 16))
+    f = neighbours.Forest(x, trees=6)
+    lo, hi = f.ranges(x[:20], 25)
+    codes = f._codes(x[:20])
+    for q in range(20):
+        total = (hi - lo)[:, q].sum()
+        assert total >= 0.05 * 6 * 500
+        for length in range(33):
+            ranges = [((f.sorted[t] >> np.uint64(32 - length)) == (int(codes[t, q]) >> (32 - length))).sum() for t in range(6)]
+            if sum(ranges) == total:
+                assert (hi - lo)[:, q].tolist() == ranges
+                break
+        else:
+            raise AssertionError("no common level")
