@@ -1,4 +1,4 @@
-"""Run a plan and report wall time and the rows of each step, by Observations inside the plan."""
+"""Run plans and report times and rows of each step, by Observations inside the plans."""
 
 from __future__ import annotations
 
@@ -12,23 +12,36 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Span:
     label: str
+    duration: float
     rows: int
 
 
 @dataclass
 class Profile:
+    """elapsed: from the first begin to the last end. stage_time: the sum of the spans."""
+
     elapsed: float = 0.0
     spans: list[Span] = field(default_factory=list)
 
+    @property
+    def stage_time(self) -> float:
+        return sum(s.duration for s in self.spans)
+
 
 def profile(steps: list[tuple[str, DataFrame]] | DataFrame) -> Profile:
     """Each step is executed by a no-op write and gives one span, in order; no steps, an empty profile."""
     steps = [("plan", steps)] if isinstance(steps, DataFrame) else steps
-    out = Profile()
+    out, first = Profile(), time.perf_counter()
     for label, df in steps:
-        seen = Observation()
-        began = time.perf_counter()
+        seen, began = Observation(), time.perf_counter()
         df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
-        out.elapsed += time.perf_counter() - began
-        out.spans.append(Span(label, seen.get["rows"]))
+        out.spans.append(Span(label, time.perf_counter() - began, seen.get["rows"]))
+        out.elapsed = time.perf_counter() - first
     return out
+
+
+def immediate(df: DataFrame) -> DataFrame:
+    """Execute now and keep the rows for what reads them next."""
+    kept = df.persist()
+    kept.write.format("noop").mode("overwrite").save()
+    return kept
