@@ -24,25 +24,46 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, keep_partitions: int | None = None) -> DataFrame:
+#: Folders that cut() has written and nobody has removed.
+_written: set[str] = set()
+
+
+def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again. Lost executors lose nothing that is in it."""
     path = f"{shared_dir(df.sparkSession)}/quern-{uuid.uuid4().hex}"
-    (df.coalesce(keep_partitions) if keep_partitions else df).write.parquet(path)
+    df.write.parquet(path)
+    _written.add(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quern_path = path
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _written.discard(path)
+
+
 def drop(df: DataFrame) -> None:
     """Remove what cut() wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, df._quern_path
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _remove(df.sparkSession, df._quern_path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove all that cut() wrote in this process: for when the results that read it have been stored."""
+    for path in list(_written):
+        _remove(spark, path)
 
 
 def row_id() -> Column:
-    """An id of the row by its place in the input: stable while the same files are read with the same settings."""
+    """An id of the row by its place in the input files, the same each time they are read.
+
+    The input must be a scan of files, as cut() gives. How Spark splits files depends on the number of cores
+    that happen to be there, which lost executors change: so that number is pinned for the session.
+    """
+    spark, key = SparkSession.getActiveSession(), "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
     return F.monotonically_increasing_id()
 
 

@@ -33,9 +33,10 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, w double")
         n = n.alias("a").join(F.broadcast(given).alias("b"), F.expr("a.source <=> b.source"), "left").select("a.source", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
-    sums = n.agg(F.sum("w").alias("sw"), F.sum("n").alias("sn"))
-    goal = F.lit(total) if total is not None else F.col("sn")
-    return n.crossJoin(F.broadcast(sums)).select("source", "n", F.coalesce(F.expr("w / nullif(sw, 0)") * goal / F.col("n"), F.lit(0.0)).alias("rate"))
+    n = cut(n)
+    of_weights, of_rows = n.agg(F.sum("w"), F.sum("n")).first()
+    goal = float(of_rows or 0) if total is None else float(total)
+    return n.select("source", "n", (F.col("w") / F.lit(of_weights or 1.0) * F.lit(goal) / F.col("n")).alias("rate"))
 
 
 def distributions(rates: DataFrame) -> DataFrame:
