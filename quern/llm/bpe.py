@@ -25,7 +25,7 @@ from quern.llm.common import per_batch
 #: The code points of Unicode's White_Space, which libraries' own \s don't all match.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces and pairs that a worker keeps; beyond that a cache starts anew.
-KEPT = 300_000
+KEPT = 600_000
 #: Characters of a piece that is worth keeping.
 KEPT_LENGTH = 48
 #: Characters of text whose pieces are held at once.
@@ -46,7 +46,7 @@ class Vocabulary:
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.longest = max(map(len, self.ranks), default=0)
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def half(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one, None for a single byte."""
@@ -65,12 +65,10 @@ class Vocabulary:
         undone from the outside, the later merge first, and each border so laid bare is looked at: ``bound`` is
         the rank that a merge there must not undercut. Equal ranks merge from the left.
         """
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= KEPT:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._valid(a, b)
-        return known
+        if len(self.pairs) >= KEPT:
+            self.pairs.clear()
+        found = self.pairs[a << 32 | b] = self._valid(a, b)
+        return found
 
     def _valid(self, a: int, b: int) -> bool:
         bound = 1 << 60
@@ -95,18 +93,23 @@ class Prefixes:
         self.vocabulary, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _next(self) -> int:
-        v, end = self.vocabulary, len(self.last) + 1
-        for n in range(min(v.longest, end), 0, -1):
-            token = v.ranks.get(self.data[end - n : end])
-            if token is not None and (n == end or v.valid(self.last[end - n - 1], token)):
-                return token
-        raise ValueError(f"no token ends at byte {end}")
-
-    def append(self, data: bytes) -> "Prefixes":
+    def append(self, data: bytes, until: int | None = None) -> "Prefixes":
+        """Add bytes, and the last tokens of prefixes of up to ``until`` bytes, or all."""
         self.data += data
-        while len(self.last) < len(self.data):
-            self.last.append(self._next())
+        v, data, last = self.vocabulary, self.data, self.last
+        token_of, known, longest = v.ranks.get, v.pairs.get, v.longest
+        for end in range(len(last) + 1, (len(data) if until is None else until) + 1):
+            for start in range(max(0, end - longest), end):
+                token = token_of(data[start:end])
+                if token is None:
+                    continue
+                if not start:
+                    break
+                before = last[start - 1]
+                ok = known(before << 32 | token)
+                if v.valid(before, token) if ok is None else ok:
+                    break
+            last.append(token)
         return self
 
     def edit(self, start: int, stop: int, data: bytes) -> "Prefixes":
@@ -121,7 +124,7 @@ class Prefixes:
             if same >= self.vocabulary.longest:
                 self.last += old[at:]
                 break
-            self.last.append(self._next())
+            self.append(b"", len(self.last) + 1)
             same = same + 1 if self.last[-1] == old[at] else 0
         return self
 
