@@ -21,7 +21,7 @@ WINDOW, STATES = 64, 8
 #: Windows that go through the network at once.
 WIDTH = 4096
 #: Bounds of the sample: documents a language and in all, and windows of each, spread over its text.
-FIT_EACH, FIT_ALL, FIT_WINDOWS = 500, 8_000, 4
+FIT_EACH, FIT_ALL, FIT_WINDOWS, BUCKETS = 500, 8_000, 4, 64
 STEPS, BATCH, RATE, SEED = 240, 256, 0.02, 11
 
 
@@ -155,7 +155,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "do
     languages and texts are left out."""
     d = docs.select(F.col(id).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("b"))
     d = d.dropna().filter((bucket(F.col("id"), folds) != held_out) & (F.octet_length("b") > 0))
-    chosen = d.select("id", "lang").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).filter(F.col("k") <= FIT_EACH)
+    # First in buckets of ids, so that no task sees more than BUCKETS * FIT_EACH rows of a common language.
+    chosen = d.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("s", F.pmod("h", F.lit(BUCKETS)))
+    for keys in (("lang", "s"), ("lang",)):
+        chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))).filter(F.col("k") <= FIT_EACH)
     chosen = chosen.orderBy("k", "lang").limit(FIT_ALL).select("id", "lang")
     at = F.explode(F.sequence(F.lit(0), F.lit(FIT_WINDOWS - 1))).alias("i")
     windows = d.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "b", at)
