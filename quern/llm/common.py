@@ -24,6 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def dealt_anew(df: DataFrame, by: str) -> DataFrame:
+    """A small aggregate, dealt by another column than those it will be joined on: the join then shuffles both of
+    its sides for itself, and Spark can split a hot key's rows, as it can't while an aggregate holds them."""
+    return df.repartition(by)
+
+
 #: Folders that cut() has written and nobody has removed.
 _written: set[str] = set()
 

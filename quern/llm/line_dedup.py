@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quern.llm.common import Q, cut, per_batch, row_id
+from quern.llm.common import Q, cut, dealt_anew, per_batch, row_id
 
 LEADING, FIELDS, AGREE = 3, 8, 0.75
 #: Lines of fewer tokens are left alone: they say too little to be boilerplate.
@@ -84,16 +84,16 @@ def lines(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
 
 def recurring(parsed: DataFrame, docs_at_least: int = DOCS) -> DataFrame:
     """(row, line) of the lines to drop. parsed: lines(), cut."""
-    exact = cut(parsed.groupBy("leaf", "exact").agg(F.sum(F.col("first").cast("long")).alias("n"), F.first("fields").alias("fields")))
-    seeds = cut(exact.groupBy("leaf").agg(F.max(F.struct("n", "exact", "fields")).alias("s")).select("leaf", F.col("s.exact").alias("seed"), F.col("s.fields").alias("like")))
+    exact = parsed.groupBy("leaf", "exact").agg(F.sum(F.col("first").cast("long")).alias("n"), F.first("fields").alias("fields"))
+    seeds = exact.groupBy("leaf").agg(F.max(F.struct("n", "exact", "fields")).alias("s")).select("leaf", F.col("s.exact").alias("seed"), F.col("s.fields").alias("like"))
     agree = F.size(F.filter(F.zip_with("fields", "like", lambda a, b: a == b), lambda x: x))
     template = F.when(agree >= AGREE * F.size("fields"), F.col("seed")).otherwise(F.col("exact"))
-    templates = cut(exact.join(seeds, "leaf").select("leaf", "exact", template.alias("template")))
+    templates = exact.join(dealt_anew(seeds, "seed"), "leaf").select("leaf", "exact", template.alias("template"))
     placed = cut(parsed.join(templates, ["leaf", "exact"]).select("leaf", "template", f"{Q}row", f"{Q}id", "line"))
     per_doc = placed.groupBy("leaf", "template", f"{Q}row").agg(F.min(f"{Q}id").alias(f"{Q}id"), F.min("line").alias("line"))
     place = F.struct(F.col(f"{Q}id").isNull().alias("none"), F.col(f"{Q}id").alias("id"), F.col(f"{Q}row").alias("row"), F.col("line").alias("line"))
     often = per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min(place).alias("stays")).filter(F.col("docs") >= docs_at_least)
-    often = cut(often.select("leaf", "template", F.col("stays.row").alias("r"), F.col("stays.line").alias("l")))
+    often = dealt_anew(often.select("leaf", "template", F.col("stays.row").alias("r"), F.col("stays.line").alias("l")), "r")
     return placed.join(often, ["leaf", "template"]).filter((F.col(f"{Q}row") != F.col("r")) | (F.col("line") != F.col("l"))).select(f"{Q}row", "line")
 
 
