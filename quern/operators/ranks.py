@@ -2,8 +2,9 @@
 
 A running sum over n rows is cut into buckets of the ordinal: each bucket is scanned in its own task, the
 bucket totals (n / BUCKET rows) are scanned once, and the offsets are joined back. A bucket holds at most
-BUCKET rows whatever the data, because ordinals are unique. Sequences known to be small take one window:
-there the extra exchange costs more than it saves.
+BUCKET rows whatever the data, because ordinals are unique. Sequences that are small, by their known capacity
+or else by the size that Catalyst derives from the files, take one window: there the extra exchange costs more
+than it saves.
 """
 
 from __future__ import annotations
@@ -15,13 +16,20 @@ from quern.sequence import Sequence
 
 #: Ordinals a bucket spans.
 BUCKET = 1 << 17
-#: Known capacities up to this take one window.
-SINGLE_WINDOW = 1 << 20
+#: Known capacities up to this take one window; without one, estimated plan sizes up to that many bytes.
+SINGLE_WINDOW, SINGLE_BYTES = 1 << 20, 16 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size of the optimized plan: from file sizes, without running anything."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def one_window(seq: Sequence, strategy: str) -> bool:
+    if strategy != "auto":
+        return strategy == "window"
     n = seq.known_capacity()
-    return strategy == "window" or (strategy == "auto" and n is not None and n <= SINGLE_WINDOW)
+    return n <= SINGLE_WINDOW if n is not None else estimated_bytes(seq.df) <= SINGLE_BYTES
 
 
 def running_sum(df: DataFrame, pos: str, amount: Column, out: str, by: list[str] = [], bucket: int = BUCKET, inclusive: bool = True) -> DataFrame:
