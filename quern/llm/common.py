@@ -16,11 +16,14 @@ Q = "__quern_"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made up only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else what setCheckpointDir() was given.
+    A local one is made up only where neither is set, as in tests on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and spark.sparkContext._jsc.getCheckpointDir().isPresent():
+        at = spark.sparkContext._jsc.getCheckpointDir().get()
     if not at:
         at = tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
