@@ -14,6 +14,7 @@ import functools
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from quern.llm.common import per_batch
 #: The code points of Unicode's White_Space, which libraries' own \s don't all match.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces and pairs that a worker keeps; beyond that a cache starts anew.
-KEPT = 600_000
+KEPT = 400_000
 #: Characters of a piece that is worth keeping.
 KEPT_LENGTH = 48
 #: Characters of text whose pieces are held at once.
@@ -229,7 +230,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: s
         lists, texts = [], []
         for t in b.column(at).to_pylist():
             blocks = [] if t is None else list(c.blocks(t))
-            lists.append(None if t is None else [int(i) for x in blocks for i in x.split(" ")])
+            made = [np.fromstring(x, np.int32, sep=" ") for x in blocks]
+            lists.append(None if t is None else np.concatenate(made) if made else np.zeros(0, np.int32))
             texts.append(None if t is None else b"".join(map(c.decode, blocks)).decode("utf-8", "surrogatepass"))
         columns = [*b.columns, pa.array(lists, pa.list_(pa.int32()))]
         columns[at] = pa.array(texts, b.column(at).type)

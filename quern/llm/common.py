@@ -37,9 +37,16 @@ def dealt_anew(df: DataFrame, by: str) -> DataFrame:
 _written: set[str] = set()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again. Lost executors lose nothing that is in it."""
+def cut(df: DataFrame, narrow_of: DataFrame | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read again. Lost executors lose nothing that is in it.
+
+    narrow_of: the table whose rows df has only a few bytes of each. A file a partition would be many tiny ones:
+    there are as many as twice the cores, or one for each GiB of the table if that is more.
+    """
     path = f"{shared_dir(df.sparkSession)}/quern-{uuid.uuid4().hex}"
+    if narrow_of is not None:
+        size = int(str(narrow_of._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        df = df.coalesce(min(1 << 20, max(2 * df.sparkSession.sparkContext.defaultParallelism, size >> 30)))
     df.write.parquet(path)
     _written.add(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -76,25 +83,35 @@ def row_id() -> Column:
     return F.monotonically_increasing_id()
 
 
+#: Rows that Python objects are made of at once.
+ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
+
+
 def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """f over Arrow batches. Memory is bounded by a batch: the session's limit of records (and bytes) a batch."""
+    """f over slices of Arrow batches. Memory is bounded by a batch, which the session limits in rows and bytes
+    (spark.sql.execution.arrow.maxBytesPerBatch), and by the objects of a slice."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield f(b)
+        yield from map(f, slices(batches))
 
     return df.mapInArrow(over, schema)
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, nodes: DataFrame | None = None) -> DataFrame:
     """(node, root) of each node of an undirected graph of LONG ids, root the least id it reaches.
 
     Alternating large and small stars until nothing changes: about log(n) rounds, each two joins on the
     node that Spark can split where a hub is hot, and minima that are combined before the shuffle. Nothing
-    is collected but a count and a checksum. Nodes without edges don't occur in the result.
+    is collected but a count and a checksum. Nodes without edges don't occur in the result. nodes: the table of
+    the nodes, by whose size the edges are written.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    e = cut(e)
+    e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), nodes)
     seen = None
     while True:
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -106,7 +123,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
-        e, old = cut(small), e
+        e, old = cut(small, e), e
         drop(old)
     roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quern.llm.common import Q, cut, dealt_anew, per_batch, row_id
+from quern.llm.common import Q, cut, dealt_anew, per_batch, row_id, slices
 
 LEADING, FIELDS, AGREE = 3, 8, 0.75
 #: Lines of fewer tokens are left alone: they say too little to be boilerplate.
@@ -65,7 +65,7 @@ def lines(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
 
     def over(batches):
         rows = []
-        for b in batches:
+        for b in slices(batches):
             for row, id_, t in zip(*(c.to_pylist() for c in b.columns)):
                 seen = set()
                 for i, line in enumerate((t or b"").split(b"\n")):
@@ -89,7 +89,7 @@ def recurring(parsed: DataFrame, docs_at_least: int = DOCS) -> DataFrame:
     agree = F.size(F.filter(F.zip_with("fields", "like", lambda a, b: a == b), lambda x: x))
     template = F.when(agree >= AGREE * F.size("fields"), F.col("seed")).otherwise(F.col("exact"))
     templates = exact.join(dealt_anew(seeds, "seed"), "leaf").select("leaf", "exact", template.alias("template"))
-    placed = cut(parsed.join(templates, ["leaf", "exact"]).select("leaf", "template", f"{Q}row", f"{Q}id", "line"))
+    placed = cut(parsed.join(templates, ["leaf", "exact"]).select("leaf", "template", f"{Q}row", f"{Q}id", "line"), parsed)
     per_doc = placed.groupBy("leaf", "template", f"{Q}row").agg(F.min(f"{Q}id").alias(f"{Q}id"), F.min("line").alias("line"))
     place = F.struct(F.col(f"{Q}id").isNull().alias("none"), F.col(f"{Q}id").alias("id"), F.col(f"{Q}row").alias("row"), F.col("line").alias("line"))
     often = per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min(place).alias("stays")).filter(F.col("docs") >= docs_at_least)
@@ -104,7 +104,7 @@ def without_recurring(docs: DataFrame, text: str = "text", id: str = "doc_id", d
     Null ids come last when the first place of a template is looked for. counts: names of two columns to
     add, the number of lines and of lines dropped. An empty table gives an empty result.
     """
-    drops = recurring(cut(lines(docs, text, id)), docs_at_least).groupBy(f"{Q}row").agg(F.collect_list("line").alias(f"{Q}drops"))
+    drops = recurring(cut(lines(docs, text, id), docs), docs_at_least).groupBy(f"{Q}row").agg(F.collect_list("line").alias(f"{Q}drops"))
     rows = docs.drop(*(counts or ())).withColumn(f"{Q}row", row_id()).join(drops, f"{Q}row", "left").drop(f"{Q}row")
     at, kept = rows.columns.index(text), [x for x in rows.columns if x != f"{Q}drops"]
     drops_at = rows.columns.index(f"{Q}drops")

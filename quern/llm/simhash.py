@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Q, components, cut, per_batch, row_id
+from quern.llm.common import Q, components, cut, dealt_anew, per_batch, row_id
 
 SEED = 42
 WORDS = 3
@@ -109,8 +109,8 @@ def links(fps: DataFrame, fp: str = f"{Q}fp") -> DataFrame:
 
 def grouped(fps: DataFrame) -> DataFrame:
     """fps of with_fingerprints(), cut, with root: the least fingerprint (as a LONG) that its own reaches."""
-    distinct = cut(fps.select(f"{Q}fp").distinct())
-    roots = components(links(distinct), "a", "b").select(F.col("node").alias(f"{Q}fp"), F.col("root").alias(f"{Q}root"))
+    distinct = cut(fps.select(f"{Q}fp").distinct(), fps)
+    roots = components(links(distinct), "a", "b", distinct).select(F.col("node").alias(f"{Q}fp"), F.col("root").alias(f"{Q}root"))
     # Fingerprints with links only: others are their own root. A hot fingerprint's rows can be split.
     return fps.join(roots, f"{Q}fp", "left").withColumn(f"{Q}root", F.coalesce(f"{Q}root", f"{Q}fp"))
 
@@ -122,17 +122,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     Null ids keep their row and never name a component, unless all of its ids are null: then it is null.
     Repeated rows each keep theirs. An empty table gives an empty result.
     """
-    fps = cut(with_fingerprints(docs, text, id))
-    g = cut(grouped(fps))
-    # Cut, so that both sides of the join are shuffled for it alone and a hot component's rows can be split.
-    names = cut(g.groupBy(f"{Q}root").agg(F.min(f"{Q}id").alias(f"{Q}component")))
+    g = grouped(cut(with_fingerprints(docs, text, id), docs))
+    names = dealt_anew(g.groupBy(f"{Q}root").agg(F.min(f"{Q}id").alias(f"{Q}component")), f"{Q}component")
     digits = F.lower(F.lpad(F.hex(f"{Q}fp"), 16, "0"))
     return g.join(names, f"{Q}root").select(F.col(f"{Q}id").alias("doc_id"), digits.alias("fingerprint"), F.col(f"{Q}component").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """docs with one row of each component: that of the least id (null ids last), of equal ids the first row."""
-    g = cut(grouped(cut(with_fingerprints(docs, text, id))))
+    g = grouped(cut(with_fingerprints(docs, text, id), docs))
     first = F.min(F.struct(F.col(f"{Q}id").isNull(), f"{Q}id", f"{Q}row"))[f"{Q}row"]
     keep = g.groupBy(f"{Q}root").agg(first.alias(f"{Q}row")).select(f"{Q}row")
     return docs.withColumn(f"{Q}row", row_id()).join(keep, f"{Q}row", "left_semi").drop(f"{Q}row")

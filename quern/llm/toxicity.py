@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Q, per_batch
+from quern.llm.common import Q, per_batch, slices
 
 #: Features are hashed to this many bits.
 BITS = 20
@@ -133,7 +133,7 @@ def scores(docs: DataFrame, model: Model, text: str = "text", score: str = "scor
     def over(batches):
         m = shared.value
         w, names = m.dense(), None
-        for b in batches:
+        for b in slices(batches):
             z = np.array([w[features(t)].sum(dtype=np.float64) + m.bias for t in b.column(at).to_pylist()])
             names = names or [*b.schema.names, score]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names)
