@@ -14,6 +14,7 @@ import functools
 import hashlib
 import re
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -26,7 +27,7 @@ from quern.llm.common import per_batch
 #: The code points of Unicode's White_Space, which libraries' own \s don't all match.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces and pairs that a worker keeps; beyond that a cache starts anew.
-KEPT = 400_000
+KEPT = 600_000
 #: Characters of a piece that is worth keeping.
 KEPT_LENGTH = 48
 #: Characters of text whose pieces are held at once.
@@ -46,6 +47,10 @@ class Vocabulary:
         self.ranks = {base64.b64decode(t): int(r) for t, r in (x.split() for x in text.splitlines() if x)}
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.longest = max(map(len, self.ranks), default=0)
+        self.automaton = ahocorasick.Automaton()
+        for t, r in self.ranks.items():
+            self.automaton.add_word(t.decode("latin-1"), (r, len(t)))
+        self.automaton.make_automaton()
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
 
@@ -97,20 +102,27 @@ class Prefixes:
     def append(self, data: bytes, until: int | None = None) -> "Prefixes":
         """Add bytes, and the last tokens of prefixes of up to ``until`` bytes, or all."""
         self.data += data
-        v, data, last = self.vocabulary, self.data, self.last
-        token_of, known, longest = v.ranks.get, v.pairs.get, v.longest
-        for end in range(len(last) + 1, (len(data) if until is None else until) + 1):
-            for start in range(max(0, end - longest), end):
-                token = token_of(data[start:end])
-                if token is None:
-                    continue
-                if not start:
-                    break
-                before = last[start - 1]
+        v, last = self.vocabulary, self.last
+        known, until = v.pairs.get, len(self.data) if until is None else until
+        at = len(last)
+        # Of the tokens that end at a byte, the automaton gives the longest first.
+        text = self.data[max(0, at + 1 - v.longest) : until].decode("latin-1")
+        base = until - len(text)
+        for end, (token, n) in v.automaton.iter(text):
+            end += base
+            if end < at:
+                continue
+            if end > at:
+                raise ValueError(f"no token ends at byte {at}")
+            if n <= end:
+                before = last[end - n]
                 ok = known(before << 32 | token)
-                if v.valid(before, token) if ok is None else ok:
-                    break
+                if not (v.valid(before, token) if ok is None else ok):
+                    continue
             last.append(token)
+            at += 1
+        if at < until:
+            raise ValueError(f"no token ends at byte {at}")
         return self
 
     def edit(self, start: int, stop: int, data: bytes) -> "Prefixes":
