@@ -44,10 +44,10 @@ def _blocks(text: bytes):
         at = end
 
 
-def fingerprint(text: bytes | None, words: int = WORDS) -> int:
-    """Of a text's bytes, as a signed 64-bit integer. Null, empty and blank texts have 0; texts of fewer
-    words than a shingle are one shingle. Long texts are worked through in blocks."""
-    ones, n, held = np.zeros(64, np.int64), 0, []
+def digests(text: bytes | None, words: int):
+    """Digests of a text's shingles, in lists. Texts of fewer words than a shingle are one; null, empty and blank
+    ones have none. Long texts are worked through in blocks."""
+    n, held = 0, []
     for block in _blocks(text or b""):
         # bytes.lower() maps A-Z only; bytes.split() splits at \x20 and \x09-\x0d.
         held += block.lower().split()
@@ -57,16 +57,21 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
         size = np.fromiter(map(len, held), np.int64, len(held))
         ends = np.cumsum(size + 1) - 1
         starts = (ends - size)[: len(held) - words + 1].tolist()
-        digests = b"".join([xxhash.xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())])
-        bits = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+        yield [xxhash.xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())]
+        n += len(starts)
+        held = held[-(words - 1) :] if words > 1 else []
+    if not n and held:
+        yield [xxhash.xxh64_digest(b" ".join(held), SEED)]
+
+
+def fingerprint(text: bytes | None, words: int = WORDS) -> int:
+    """Of a text's bytes, as a signed 64-bit integer. Null, empty and blank texts have 0."""
+    ones, n = np.zeros(64, np.int64), 0
+    for some in digests(text, words):
+        bits = np.frombuffer(b"".join(some), np.uint8).reshape(-1, 8)
         for i in range(0, len(bits), 1 << 14):
             ones += np.unpackbits(bits[i : i + (1 << 14)], axis=1).sum(axis=0, dtype=np.int32)
         n += len(bits)
-        held = held[-(words - 1) :] if words > 1 else []
-    if not n:
-        if not held:
-            return 0
-        ones, n = np.unpackbits(np.frombuffer(xxhash.xxh64_digest(b" ".join(held), SEED), np.uint8)).astype(np.int64), 1
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
@@ -107,10 +112,12 @@ def links(fps: DataFrame, fp: str = f"{Q}fp") -> DataFrame:
     return found.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
 
-def grouped(fps: DataFrame) -> DataFrame:
-    """fps of with_fingerprints(), cut, with root: the least fingerprint (as a LONG) that its own reaches."""
+def grouped(fps: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """fps of with_fingerprints(), cut, with root: the least fingerprint (as a LONG) that its own reaches.
+    more: (a, b) of fingerprints that are linked too."""
     distinct = cut(fps.select(f"{Q}fp").distinct(), fps)
-    roots = components(links(distinct), "a", "b", distinct).select(F.col("node").alias(f"{Q}fp"), F.col("root").alias(f"{Q}root"))
+    linked = links(distinct)
+    roots = components(linked if more is None else linked.union(more), "a", "b", distinct).select(F.col("node").alias(f"{Q}fp"), F.col("root").alias(f"{Q}root"))
     # Fingerprints with links only: others are their own root. A hot fingerprint's rows can be split.
     return fps.join(roots, f"{Q}fp", "left").withColumn(f"{Q}root", F.coalesce(f"{Q}root", f"{Q}fp"))
 
@@ -128,9 +135,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     return g.join(names, f"{Q}root").select(F.col(f"{Q}id").alias("doc_id"), digits.alias("fingerprint"), F.col(f"{Q}component").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """docs with one row of each component: that of the least id (null ids last), of equal ids the first row."""
-    g = grouped(cut(with_fingerprints(docs, text, id), docs))
+def first_of_each(docs: DataFrame, g: DataFrame) -> DataFrame:
+    """The row of docs with the least id of each of grouped()'s roots."""
     first = F.min(F.struct(F.col(f"{Q}id").isNull(), f"{Q}id", f"{Q}row"))[f"{Q}row"]
     keep = g.groupBy(f"{Q}root").agg(first.alias(f"{Q}row")).select(f"{Q}row")
     return docs.withColumn(f"{Q}row", row_id()).join(keep, f"{Q}row", "left_semi").drop(f"{Q}row")
+
+
+def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """docs with one row of each component: that of the least id (null ids last), of equal ids the first row."""
+    return first_of_each(docs, grouped(cut(with_fingerprints(docs, text, id), docs)))
