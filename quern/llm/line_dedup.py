@@ -5,7 +5,8 @@ with digits are variable fields and read as one mark. The rest of a line is cut
 of tokens. In each leaf the line that most documents have is generalised: lines that agree with it in AGREE of
 the runs belong to its template, whatever their other runs hold; each other line is a template of its own.
 
-A template recurs if DOCS documents or more have it. Its first line (of the least id) stays where it is, so
+A generalised template, or one that is mostly variable fields, recurs if DOCS documents or more have it; one line's
+masked text recurs from SAME documents on, as does a long line's template. Its first line (of the least id) stays where it is, so
 that no passage is lost from the corpus; in all other places its lines are dropped.
 
 A line is a row of fixed width from the first step on, so texts are read once to parse and once to rewrite.
@@ -29,7 +30,9 @@ from quern.llm.common import Q, cut, dealt_anew, per_batch, row_id, slices
 LEADING, FIELDS, AGREE = 3, 8, 0.75
 #: Lines of fewer tokens are left alone: they say too little to be boilerplate.
 TOKENS = 4
-DOCS = 5
+DOCS, SAME = 5, 2
+#: Tokens of a long line, and the share of a line's tokens up to which variable fields leave it one text.
+LONG, VARIED = 50, 0.25
 MARK = b"<*>"
 #: Lines that are parsed before they are handed on.
 LINES = 50_000
@@ -37,8 +40,9 @@ LINES = 50_000
 _DIGIT = re.compile(rb"[0-9]")
 
 
-def parse(line: bytes) -> tuple[int, int, list[int]] | None:
-    """(leaf, exact, fields) of a line as signed hashes, None if it has too few tokens."""
+def parse(line: bytes) -> tuple[int, int, list[int], bool, bool] | None:
+    """(leaf, exact, fields, text, long) of a line, None if it has too few tokens: signed hashes, whether its masked
+    text is enough to tell it by, and whether it is long."""
     tokens = line.split()
     if len(tokens) < TOKENS:
         return None
@@ -49,19 +53,20 @@ def parse(line: bytes) -> tuple[int, int, list[int]] | None:
     cuts = [len(rest) * k // n for k in range(n + 1)]
     fields = [xxhash.xxh32_intdigest(b" ".join(rest[a:b])) - (1 << 31) for a, b in zip(cuts, cuts[1:])]
     leaf = xxhash.xxh64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:LEADING]))
-    return leaf - (1 << 63), xxhash.xxh64_intdigest(b" ".join(tokens)) - (1 << 63), fields
+    text = tokens.count(MARK) <= VARIED * len(tokens)
+    return leaf - (1 << 63), xxhash.xxh64_intdigest(b" ".join(tokens)) - (1 << 63), fields, text, text and len(tokens) > LONG
 
 
-_LINES = f"{Q}row long, {Q}id long, line int, first boolean, leaf long, exact long, fields array<int>"
+_LINES = f"{Q}row long, {Q}id long, line int, first boolean, leaf long, exact long, fields array<int>, text boolean, long boolean"
 
 
 def lines(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """A row of each line that is parsed; first: no line before it in its document has the same masked text."""
 
     def made(rows: list) -> pa.RecordBatch:
-        names = [f"{Q}row", f"{Q}id", "line", "first", "leaf", "exact", "fields"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names)
+        names = [f"{Q}row", f"{Q}id", "line", "first", "leaf", "exact", "fields", "text", "long"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 9, kinds)], names)
 
     def over(batches):
         rows = []
@@ -84,17 +89,30 @@ def lines(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
 
 def recurring(parsed: DataFrame, docs_at_least: int = DOCS) -> DataFrame:
     """(row, line) of the lines to drop. parsed: lines(), cut."""
-    exact = parsed.groupBy("leaf", "exact").agg(F.sum(F.col("first").cast("long")).alias("n"), F.first("fields").alias("fields"))
+    exact = parsed.groupBy("leaf", "exact").agg(F.sum(F.col("first").cast("long")).alias("n"), *(F.first(c).alias(c) for c in ("fields", "text", "long")))
     seeds = exact.groupBy("leaf").agg(F.max(F.struct("n", "exact", "fields")).alias("s")).select("leaf", F.col("s.exact").alias("seed"), F.col("s.fields").alias("like"))
     agree = F.size(F.filter(F.zip_with("fields", "like", lambda a, b: a == b), lambda x: x))
     template = F.when(agree >= AGREE * F.size("fields"), F.col("seed")).otherwise(F.col("exact"))
-    templates = exact.join(dealt_anew(seeds, "seed"), "leaf").select("leaf", "exact", template.alias("template"))
-    placed = cut(parsed.join(templates, ["leaf", "exact"]).select("leaf", "template", f"{Q}row", f"{Q}id", "line"), parsed)
-    per_doc = placed.groupBy("leaf", "template", f"{Q}row").agg(F.min(f"{Q}id").alias(f"{Q}id"), F.min("line").alias("line"))
+    templates = exact.join(dealt_anew(seeds, "seed"), "leaf").select("leaf", "exact", "n", "text", "long", template.alias("template"))
+    # Documents that a template and that an exact line needs. Templates that no count can bring there end here.
+    same = min(SAME, docs_at_least)
+    sizes = templates.groupBy("leaf", "template").agg(F.sum("n").alias("most"), F.count(F.lit(1)).alias("lines"), F.every("text").alias("t"), F.every("long").alias("l"))
+    sizes = sizes.withColumn("need", F.when(F.col("l") | (F.col("t") & (F.col("lines") == 1)), same).otherwise(docs_at_least)).filter(F.col("most") >= same)
+    alone = (F.col("lines") > 1) & F.col("text") & (F.col("n") >= same)
+    templates = templates.join(dealt_anew(sizes.select("leaf", "template", "lines", "need"), "lines"), ["leaf", "template"]).select("leaf", "exact", "template", "need", alone.alias("alone"))
+    at = [f"{Q}row", f"{Q}id", "line"]
+    placed = cut(parsed.join(templates, ["leaf", "exact"]).select("leaf", "exact", "template", "need", "alone", "first", *at), parsed)
     place = F.struct(F.col(f"{Q}id").isNull().alias("none"), F.col(f"{Q}id").alias("id"), F.col(f"{Q}row").alias("row"), F.col("line").alias("line"))
-    often = per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min(place).alias("stays")).filter(F.col("docs") >= docs_at_least)
+    firsts = placed.filter("first")
+    per_doc = firsts.groupBy("leaf", "template", f"{Q}row").agg(F.min(f"{Q}id").alias(f"{Q}id"), F.min("line").alias("line"), F.first("need").alias("need"))
+    often = per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.first("need").alias("need"), F.min(place).alias("stays")).filter("docs >= need")
     often = dealt_anew(often.select("leaf", "template", F.col("stays.row").alias("r"), F.col("stays.line").alias("l")), "r")
-    return placed.join(often, ["leaf", "template"]).filter((F.col(f"{Q}row") != F.col("r")) | (F.col("line") != F.col("l"))).select(f"{Q}row", "line")
+    alike = firsts.filter("alone").groupBy("leaf", "exact").agg(F.min(place).alias("stays"))
+    alike = dealt_anew(alike.select("leaf", "exact", F.col("stays.row").alias("er"), F.col("stays.line").alias("el")), "er")
+    met = placed.join(often, ["leaf", "template"], "left").join(alike, ["leaf", "exact"], "left")
+    stays = F.when(F.col("r").isNotNull(), F.struct("r", "l")).otherwise(F.struct(F.col("er").alias("r"), F.col("el").alias("l")))
+    met = met.withColumn("stays", stays).filter("stays.r IS NOT NULL")
+    return met.filter((F.col(f"{Q}row") != F.col("stays.r")) | (F.col("line") != F.col("stays.l"))).select(f"{Q}row", "line")
 
 
 def without_recurring(docs: DataFrame, text: str = "text", id: str = "doc_id", docs_at_least: int = DOCS, counts: tuple[str, str] | None = None) -> DataFrame:
