@@ -2,7 +2,7 @@
 
 Lines are parsed to a fixed depth: the number of tokens, then the LEADING first tokens, lead to a leaf. Tokens
 with digits are variable fields and read as one mark. The rest of a line is cut into FIELDS consecutive runs
-of tokens. In each leaf the line that most documents have is generalised: lines that agree with it in AGREE of
+of tokens. Lines under TOKENS tokens, such as whole passages in scripts without spaces, are read as they are. In each leaf the line that most documents have is generalised: lines that agree with it in AGREE of
 the runs belong to its template, whatever their other runs hold; each other line is a template of its own.
 
 A generalised template, or one that is mostly variable fields, recurs if DOCS documents or more have it; one line's
@@ -28,8 +28,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from quern.llm.common import Q, cut, dealt_anew, per_batch, row_id, slices
 
 LEADING, FIELDS, AGREE = 3, 8, 0.75
-#: Lines of fewer tokens are left alone: they say too little to be boilerplate.
-TOKENS = 4
+#: Lines of fewer tokens and bytes are short: chance repeats them, so they recur only from OFTEN documents on.
+TOKENS, BYTES, OFTEN = 4, 60, 30
 DOCS, SAME = 5, 2
 #: Tokens of a long line, and the share of a line's tokens up to which variable fields leave it one text.
 LONG, VARIED = 50, 0.25
@@ -40,33 +40,34 @@ LINES = 50_000
 _DIGIT = re.compile(rb"[0-9]")
 
 
-def parse(line: bytes) -> tuple[int, int, list[int], bool, bool] | None:
-    """(leaf, exact, fields, text, long) of a line, None if it has too few tokens: signed hashes, whether its masked
-    text is enough to tell it by, and whether it is long."""
+def parse(line: bytes) -> tuple[int, int, list[int], bool, bool, bool] | None:
+    """(leaf, exact, fields, text, long, short) of a line, None if it is blank: signed hashes, whether its masked text
+    is enough to tell it by, and whether it is long or short."""
     tokens = line.split()
-    if len(tokens) < TOKENS:
+    if not tokens:
         return None
-    if _DIGIT.search(line):
+    few = len(tokens) < TOKENS
+    if not few and _DIGIT.search(line):
         tokens = [MARK if _DIGIT.search(t) else t for t in tokens]
     rest = tokens[LEADING:]
     n = min(FIELDS, len(rest))
-    cuts = [len(rest) * k // n for k in range(n + 1)]
+    cuts = [len(rest) * k // n for k in range(n + 1)] if n else []
     fields = [xxhash.xxh32_intdigest(b" ".join(rest[a:b])) - (1 << 31) for a, b in zip(cuts, cuts[1:])]
     leaf = xxhash.xxh64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:LEADING]))
     text = tokens.count(MARK) <= VARIED * len(tokens)
-    return leaf - (1 << 63), xxhash.xxh64_intdigest(b" ".join(tokens)) - (1 << 63), fields, text, text and len(tokens) > LONG
+    return leaf - (1 << 63), xxhash.xxh64_intdigest(b" ".join(tokens)) - (1 << 63), fields, text, text and len(tokens) > LONG, few and len(line) < BYTES
 
 
-_LINES = f"{Q}row long, {Q}id long, line int, first boolean, leaf long, exact long, fields array<int>, text boolean, long boolean"
+_LINES = f"{Q}row long, {Q}id long, line int, first boolean, leaf long, exact long, fields array<int>, text boolean, long boolean, short boolean"
 
 
 def lines(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """A row of each line that is parsed; first: no line before it in its document has the same masked text."""
 
     def made(rows: list) -> pa.RecordBatch:
-        names = [f"{Q}row", f"{Q}id", "line", "first", "leaf", "exact", "fields", "text", "long"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 9, kinds)], names)
+        names = [f"{Q}row", f"{Q}id", "line", "first", "leaf", "exact", "fields", "text", "long", "short"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_(), pa.bool_(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 10, kinds)], names)
 
     def over(batches):
         rows = []
@@ -89,15 +90,15 @@ def lines(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
 
 def recurring(parsed: DataFrame, docs_at_least: int = DOCS) -> DataFrame:
     """(row, line) of the lines to drop. parsed: lines(), cut."""
-    exact = parsed.groupBy("leaf", "exact").agg(F.sum(F.col("first").cast("long")).alias("n"), *(F.first(c).alias(c) for c in ("fields", "text", "long")))
+    exact = parsed.groupBy("leaf", "exact").agg(F.sum(F.col("first").cast("long")).alias("n"), *(F.first(c).alias(c) for c in ("fields", "text", "long", "short")))
     seeds = exact.groupBy("leaf").agg(F.max(F.struct("n", "exact", "fields")).alias("s")).select("leaf", F.col("s.exact").alias("seed"), F.col("s.fields").alias("like"))
     agree = F.size(F.filter(F.zip_with("fields", "like", lambda a, b: a == b), lambda x: x))
     template = F.when(agree >= AGREE * F.size("fields"), F.col("seed")).otherwise(F.col("exact"))
-    templates = exact.join(dealt_anew(seeds, "seed"), "leaf").select("leaf", "exact", "n", "text", "long", template.alias("template"))
+    templates = exact.join(dealt_anew(seeds, "seed"), "leaf").select("leaf", "exact", "n", "text", "long", "short", template.alias("template"))
     # Documents that a template and that an exact line needs. Templates that no count can bring there end here.
     same = min(SAME, docs_at_least)
-    sizes = templates.groupBy("leaf", "template").agg(F.sum("n").alias("most"), F.count(F.lit(1)).alias("lines"), F.every("text").alias("t"), F.every("long").alias("l"))
-    sizes = sizes.withColumn("need", F.when(F.col("l") | (F.col("t") & (F.col("lines") == 1)), same).otherwise(docs_at_least)).filter(F.col("most") >= same)
+    sizes = templates.groupBy("leaf", "template").agg(F.sum("n").alias("most"), F.count(F.lit(1)).alias("lines"), F.every("text").alias("t"), F.every("long").alias("l"), F.every("short").alias("s"))
+    sizes = sizes.withColumn("need", F.when(F.col("s"), max(OFTEN, docs_at_least)).when(F.col("l") | (F.col("t") & (F.col("lines") == 1)), same).otherwise(docs_at_least)).filter(F.col("most") >= F.when(F.col("s"), F.col("need")).otherwise(same))
     alone = (F.col("lines") > 1) & F.col("text") & (F.col("n") >= same)
     templates = templates.join(dealt_anew(sizes.select("leaf", "template", "lines", "need"), "lines"), ["leaf", "template"]).select("leaf", "exact", "template", "need", alone.alias("alone"))
     at = [f"{Q}row", f"{Q}id", "line"]

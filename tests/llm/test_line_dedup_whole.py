@@ -19,3 +19,12 @@ def test_two_documents_share_a_passage(spark):
     assert dropped(spark, [[passage], [altered]]) == [(1, 0)]  # long: generalised from two documents on
     ad = "we thank our sponsor {} for the kind help given in all these years"
     assert dropped(spark, [[ad.format(x)] for x in ("ann", "bob", "cy", "cy")]) == [(3, 0)]  # one text twice, the template four times
+
+
+def test_short_lines_and_scripts_without_spaces(spark):
+    chinese = "".join(chr(0x4E00 + i * 37 % 2000) for i in range(300)) + "2024"
+    lines = [["All rights reserved.", f"{i}"] for i in range(31)] + [["Yes."] for _ in range(29)]
+    lines[3].append(chinese)
+    lines[40].append(chinese)
+    lines[41].append(chinese[:-1] + "5")
+    assert dropped(spark, lines) == [*((i, 0) for i in range(1, 31)), (40, 1)]
