@@ -2,8 +2,10 @@
 
 Lines are parsed to a fixed depth: the number of tokens, then the LEADING first tokens, lead to a leaf. Tokens
 with digits are variable fields and read as one mark. The rest of a line is cut into FIELDS consecutive runs
-of tokens. Lines under TOKENS tokens, such as whole passages in scripts without spaces, are read as they are. In each leaf the line that most documents have is generalised: lines that agree with it in AGREE of
-the runs belong to its template, whatever their other runs hold; each other line is a template of its own.
+of tokens. Lines under TOKENS tokens, such as whole passages in scripts without spaces, are read as they are. In each leaf lines that agree in AGREE of
+the runs belong to one template, whatever their other runs hold, directly or through other lines; so a leaf has as
+many templates as it needs. Lines agree if they meet at one of the keys that each makes of every large enough set of
+its runs: no pairs are compared, and hot leaves are split.
 
 A generalised template, or one that is mostly variable fields, recurs if DOCS documents or more have it; one line's
 masked text recurs from SAME documents on, as does a long line's template. Its first line (of the least id) stays where it is, so
@@ -16,6 +18,8 @@ Spark can split.
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 
 import numpy as np
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quern.llm.common import Q, cut, dealt_anew, per_batch, row_id, slices
+from quern.llm.common import Q, components, cut, dealt_anew, per_batch, row_id, slices
 
 LEADING, FIELDS, AGREE = 3, 8, 0.75
 #: Lines of fewer tokens and bytes are short: chance repeats them, so they recur only from OFTEN documents on.
@@ -88,19 +92,36 @@ def lines(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     return docs.select(*cols).mapInArrow(over, _LINES)
 
 
+def _subsets(n: int) -> list[int]:
+    """Sets of AGREE of n runs, as bits. None if they are all n: lines that agree there are equal."""
+    most = math.ceil(AGREE * n)
+    return [sum(1 << i for i in x) for x in itertools.combinations(range(n), most)] if most < n else []
+
+
+def agreeing(exact: DataFrame) -> DataFrame:
+    """(node, root): exact lines that agree with others of their leaf, and the least that they reach."""
+    shared = exact.groupBy("leaf").agg(F.min("exact").alias("a"), F.max("exact").alias("z")).filter("a <> z").select("leaf", "a")
+    some = exact.select("leaf", "exact", "fields").join(dealt_anew(shared, "a"), "leaf").filter(F.size("fields") > 0)
+    cases = " ".join(f"WHEN {n} THEN array({', '.join(map(str, _subsets(n)))})" for n in range(1, FIELDS + 1) if _subsets(n))
+    keys = some.withColumn("set", F.expr(f"explode(CASE size(fields) {cases} END)"))
+    held = "transform(fields, (x, i) -> if((set & shiftleft(1, i)) != 0, x, null))"
+    keys = keys.select("exact", F.expr(f"xxhash64(leaf, set, {held})").alias("key"))
+    hubs = keys.groupBy("key").agg(F.min("exact").alias("hub"), F.max("exact").alias("z")).filter("hub <> z").select("key", "hub")
+    return components(keys.join(dealt_anew(hubs, "hub"), "key").select("exact", "hub"), "exact", "hub", exact)
+
+
 def recurring(parsed: DataFrame, docs_at_least: int = DOCS) -> DataFrame:
     """(row, line) of the lines to drop. parsed: lines(), cut."""
     exact = parsed.groupBy("leaf", "exact").agg(F.sum(F.col("first").cast("long")).alias("n"), *(F.first(c).alias(c) for c in ("fields", "text", "long", "short")))
-    seeds = exact.groupBy("leaf").agg(F.max(F.struct("n", "exact", "fields")).alias("s")).select("leaf", F.col("s.exact").alias("seed"), F.col("s.fields").alias("like"))
-    agree = F.size(F.filter(F.zip_with("fields", "like", lambda a, b: a == b), lambda x: x))
-    template = F.when(agree >= AGREE * F.size("fields"), F.col("seed")).otherwise(F.col("exact"))
-    templates = exact.join(dealt_anew(seeds, "seed"), "leaf").select("leaf", "exact", "n", "text", "long", "short", template.alias("template"))
+    exact = cut(exact, parsed)
+    roots = dealt_anew(agreeing(exact).withColumnRenamed("node", "exact"), "root")
+    templates = exact.join(roots, "exact", "left").select("leaf", "exact", "n", "text", "long", "short", F.coalesce("root", "exact").alias("template"))
     # Documents that a template and that an exact line needs. Templates that no count can bring there end here.
     same = min(SAME, docs_at_least)
     sizes = templates.groupBy("leaf", "template").agg(F.sum("n").alias("most"), F.count(F.lit(1)).alias("lines"), F.every("text").alias("t"), F.every("long").alias("l"), F.every("short").alias("s"))
     sizes = sizes.withColumn("need", F.when(F.col("s"), max(OFTEN, docs_at_least)).when(F.col("l") | (F.col("t") & (F.col("lines") == 1)), same).otherwise(docs_at_least)).filter(F.col("most") >= F.when(F.col("s"), F.col("need")).otherwise(same))
     alone = (F.col("lines") > 1) & F.col("text") & (F.col("n") >= same)
-    templates = templates.join(dealt_anew(sizes.select("leaf", "template", "lines", "need"), "lines"), ["leaf", "template"]).select("leaf", "exact", "template", "need", alone.alias("alone"))
+    templates = templates.join(dealt_anew(sizes.select("leaf", "template", "lines", "need"), "template"), ["leaf", "template"]).select("leaf", "exact", "template", "need", alone.alias("alone"))
     at = [f"{Q}row", f"{Q}id", "line"]
     placed = cut(parsed.join(templates, ["leaf", "exact"]).select("leaf", "exact", "template", "need", "alone", "first", *at), parsed)
     place = F.struct(F.col(f"{Q}id").isNull().alias("none"), F.col(f"{Q}id").alias("id"), F.col(f"{Q}row").alias("row"), F.col("line").alias("line"))

@@ -28,3 +28,11 @@ def test_short_lines_and_scripts_without_spaces(spark):
     lines[40].append(chinese)
     lines[41].append(chinese[:-1] + "5")
     assert dropped(spark, lines) == [*((i, 0) for i in range(1, 31)), (40, 1)]
+
+
+def test_a_leaf_has_several_templates(spark):
+    fixed = "We thank our readers of many years who never once left us alone"
+    footer = "We thank our sponsor {} for the kind help given in all these years"
+    names = [f"n{chr(97 + i)}" for i in range(7)]
+    got = dropped(spark, [[fixed] for _ in range(9)] + [[footer.format(x)] for x in names])
+    assert got == [*((i, 0) for i in range(1, 9)), *((i, 0) for i in range(10, 16))]
