@@ -31,7 +31,7 @@ def test_short_lines_and_scripts_without_spaces(spark):
 
 
 def test_a_leaf_has_several_templates(spark):
-    fixed = "We thank our readers of many years who never once left us alone"
+    fixed = "We thank our readers of many years who never once left us all alone"
     footer = "We thank our sponsor {} for the kind help given in all these years"
     names = [f"n{chr(97 + i)}" for i in range(7)]
     got = dropped(spark, [[fixed] for _ in range(9)] + [[footer.format(x)] for x in names])
