@@ -21,11 +21,11 @@ def _narrow(keys, bits: int) -> None:
 
 
 def mask(spark: SparkSession, values: list[int], predicate: Predicate) -> list[int]:
-    return [r["mask"] for r in ops.mask(from_list(spark, values), predicate).df.orderBy("pos").select("mask").collect()]
+    return [r["mask"] for r in ops.mask(from_list(spark, values), predicate).rows.orderBy("pos").select("mask").collect()]
 
 
 def mask_records(spark: SparkSession, records: Records, field: str, predicate: Predicate) -> list[int]:
-    return [r["mask"] for r in ops.mask(from_records(spark, records), predicate, field).df.orderBy("pos").select("mask").collect()]
+    return [r["mask"] for r in ops.mask(from_records(spark, records), predicate, field).rows.orderBy("pos").select("mask").collect()]
 
 
 def compact(spark: SparkSession, values: list[int], flags: list[int]) -> list[int]:

@@ -15,6 +15,6 @@ def histogram(seq: Sequence, bins: int, max_bins: int | None = MAX_BINS) -> Data
     """(bin, count). max_bins=None lifts the limit. The counts side has one row a bin, joined to range(bins)."""
     if bins < 1 or (max_bins is not None and bins > max_bins):
         raise InvalidHistogramBinCount(f"{bins} bins; 1..{max_bins} allowed")
-    counts = seq.df.filter(F.col("value") < bins).groupBy(F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("__n"))
-    every = seq.df.sparkSession.range(bins).select(F.col("id").alias("bin"))
+    counts = seq.rows.filter(F.col("value") < bins).groupBy(F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("__n"))
+    every = seq.rows.sparkSession.range(bins).select(F.col("id").alias("bin"))
     return every.join(counts, "bin", "left").select("bin", F.coalesce("__n", F.lit(0)).cast("long").alias("count"))

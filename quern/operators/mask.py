@@ -15,7 +15,7 @@ def masks(seq: Sequence, **predicates) -> Sequence:
         if field not in seq.fields:
             raise PrimitiveError(f"no field {field}; there are {seq.fields}")
         cols[name] = p.on(F.col(field)).cast("int")
-    return seq.with_df(seq.df.withColumns(cols))
+    return seq.with_df(seq.rows.withColumns(cols))
 
 
 def mask(seq: Sequence, predicate: Predicate, field: str = "value") -> Sequence:

@@ -1,61 +1,21 @@
-"""Positions without a single-partition window.
-
-A running sum over n rows is cut into buckets of the ordinal: each bucket is scanned in its own task, the
-bucket totals (n / BUCKET rows) are scanned once, and the offsets are joined back. A bucket holds at most
-BUCKET rows whatever the data, because ordinals are unique. Sequences that are small, by their known capacity
-or else by the size that Catalyst derives from the files, take one window: there the extra exchange costs more
-than it saves.
-"""
+"""Places of a sequence's elements as a column."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.order import indexed, one_window
 from quern.sequence import Sequence
 
-#: Ordinals a bucket spans.
-BUCKET = 1 << 17
-#: Known capacities up to this take one window; without one, estimated plan sizes up to that many bytes.
-SINGLE_WINDOW, SINGLE_BYTES = 1 << 20, 16 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size of the optimized plan: from file sizes, without running anything."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def one_window(seq: Sequence, strategy: str) -> bool:
-    if strategy != "auto":
-        return strategy == "window"
-    n = seq.known_capacity()
-    return n <= SINGLE_WINDOW if n is not None else estimated_bytes(seq.df) <= SINGLE_BYTES
-
-
-def running_sum(df: DataFrame, pos: str, amount: Column, out: str, by: list[str] = [], bucket: int = BUCKET, inclusive: bool = True) -> DataFrame:
-    """df and the running sum of amount along pos, restarted for each value of the columns in by."""
-    frame = (Window.unboundedPreceding, 0 if inclusive else -1)
-    df = df.withColumns({"__b": F.floor(F.col(pos) / bucket).cast("long"), "__a": amount})
-    local = Window.partitionBy(*by, "__b").orderBy(pos).rowsBetween(*frame)
-    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*by, "__b").agg(F.sum("__a").alias("__t"))
-    offsets = totals.select(*by, "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
-    summed = df.withColumn("__s", F.coalesce(F.sum("__a").over(local), F.lit(0)))
-    return summed.join(offsets, [*by, "__b"]).withColumn(out, F.col("__s") + F.col("__o")).drop("__b", "__a", "__s", "__o")
-
 
-def dense(seq: Sequence, out: str = "dst", strategy: str = "auto", bucket: int = BUCKET) -> DataFrame:
+def dense(seq: Sequence, out: str = "dst", strategy: str = "auto") -> DataFrame:
     """The rows with their index in the sequence's order, from 0.
 
-    Unsorted: the exclusive running count along pos. Sorted by a field: the number of rows with smaller
-    fields, plus the running count along pos among equal ones; a hot value is cut by pos like any other.
+    strategy: "window" (one task), "range" (one range shuffle of the rows), or "auto". Dense ordinals that no sort
+    has left behind are the index as they are.
     """
     seq.needs_order("dense")
-    by = [seq.sorted_by] if seq.sorted_by else []
-    if one_window(seq, strategy):
-        return seq.df.withColumn(out, (F.row_number().over(Window.orderBy(*by, "pos")) - 1).cast("long"))
-    if not by:
-        return running_sum(seq.df, "pos", F.lit(1).cast("long"), out, [], bucket, False)
-    sizes = running_sum(seq.df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), by[0], F.col("__n"), "__below", [], bucket, False)
-    ranked = running_sum(seq.df, "pos", F.lit(1).cast("long"), "__within", by, bucket, False)
-    return ranked.join(sizes.select(*by, "__below"), by).withColumn(out, F.col("__below") + F.col("__within")).drop("__below", "__within")
+    if seq.dense and not seq.sorted_by and strategy == "auto":
+        return seq.rows.withColumn(out, F.col("pos"))
+    return indexed(seq.rows, seq.order, out, one_window(seq.rows, seq.known_capacity(), strategy))

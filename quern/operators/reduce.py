@@ -14,4 +14,4 @@ def reduce(seq: Sequence, op: str = "sum") -> DataFrame:
     made = {"sum": lambda: wrapping_sum(c), "min": lambda: F.coalesce(F.min(c), F.lit(MIN_IDENTITY)), "max": lambda: F.coalesce(F.max(c), F.lit(MAX_IDENTITY))}
     if op not in made:
         raise PrimitiveError(f"unknown reduction {op}")
-    return seq.df.agg(made[op]().alias("value"))
+    return seq.rows.agg(made[op]().alias("value"))

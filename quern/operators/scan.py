@@ -4,20 +4,25 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.domain import wrap
-from quern.operators.ranks import BUCKET, one_window, running_sum
+from quern.order import BUCKET, one_window, running_sum
 from quern.sequence import Sequence
 
+#: How places are given anew for each way of scanning.
+REINDEX = {"window": "window", "buckets": "range", "auto": "auto"}
+
 
 def scan(seq: Sequence, inclusive: bool = True, strategy: str = "auto", bucket: int = BUCKET) -> Sequence:
     """strategy: "window" (one task), "buckets" (two-phase), or "auto" by the known capacity.
 
-    Running sums are carried as LONGs reduced modulo 2^32 per bucket; a bucket of up to 2^31 elements can't
-    overflow, nor can the totals below 2^31 buckets.
+    The result has dense ordinals, whatever the input had. Running sums are carried as LONGs; below 2^31 elements
+    they can't overflow, nor can the totals below 2^31 elements in all.
     """
     seq.needs_order("scan")
-    if one_window(seq, strategy):
+    seq.needs_values("scan")
+    q = seq.reindexed(REINDEX[strategy])
+    if one_window(q.rows, q.known_capacity(), strategy):
         w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        df = seq.df.withColumn("value", wrap(F.coalesce(F.sum("value").over(w), F.lit(0))))
+        df = q.rows.withColumn("value", wrap(F.coalesce(F.sum("value").over(w), F.lit(0))))
     else:
-        df = running_sum(seq.df, "pos", F.col("value"), "__sum", [], bucket, inclusive).withColumn("value", wrap(F.col("__sum"))).drop("__sum")
-    return seq.with_df(df.select("pos", "value"), sorted_by=None)
+        df = running_sum(q.rows, "pos", F.col("value"), "__sum", bucket, inclusive).withColumn("value", wrap(F.col("__sum")))
+    return q.with_df(df.select("pos", "value"))

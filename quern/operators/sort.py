@@ -1,5 +1,5 @@
-"""Stable ascending sorts. The sort is a claim about order that sinks and ranks honour: nothing is
-shuffled until rows are written, collected or ranked, and reductions never pay for it."""
+"""Stable ascending sorts. The rows stay where they are until something reads them in order: ``df``, sinks, ranks
+and whatever depends on places. Reductions never pay for a sort."""
 
 from pyspark.sql import functions as F
 
@@ -8,12 +8,14 @@ from quern.sequence import Sequence
 
 
 def sort(seq: Sequence, by: str | None = None, key_bits: int = 32, validate: bool = True) -> Sequence:
-    """Order by (field, pos). key_bits: a checked contract; wider keys raise when the rows are read."""
+    """Order by (field, place before). key_bits: a checked contract; wider keys raise when the rows are read."""
     if not 0 <= key_bits <= 32:
         raise InvalidKeyBits(f"{key_bits} bits")
     seq.needs_order("sort")
     by = by or ("key" if seq.is_records else "value")
-    df = seq.df
+    if seq.sorted_by not in (None, by):  # equal keys keep the order that the sort before gave them
+        seq = seq.reindexed()
+    df = seq.rows
     if key_bits < 32 and validate:
         c = F.col(by)
         wide = F.raise_error(F.lit(f"{by} needs more than {key_bits} bits")).cast("long")

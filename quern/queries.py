@@ -11,122 +11,411 @@ from pyspark.sql import functions as F
 
 from quern import operators as ops
 from quern.functions.predicates import Between, Equal, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, NotEqual
-from quern.plans import Pipeline
+from quern.plans import CountPlan, Dispatch, Pipeline, count_at, immediate
 from quern.sequence import Sequence
 from quern.sources import from_parquet
 
-_M = 4294967296
+U32 = 4294967296
+TOP = U32 - 1
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def _events(spark: SparkSession, d: str) -> Sequence:
-    return from_parquet(spark, f"{d}/events.parquet", value="user_id", order_by="event_id")
+def events(spark: SparkSession, d: str) -> Sequence:
+    return from_parquet(spark, f"{d}/events.parquet", value="user_id", order_by="event_id", dense=True)
 
 
-def _orders(spark: SparkSession, d: str) -> Sequence:
-    return from_parquet(spark, f"{d}/orders.parquet", key="o_custkey", value="o_orderkey", order_by="o_orderkey")
+def orders(spark: SparkSession, d: str) -> Sequence:
+    return from_parquet(spark, f"{d}/orders.parquet", key="o_custkey", value="o_orderkey", order_by="o_orderkey", dense=True)
 
 
-def _lines(spark: SparkSession, d: str) -> Sequence:
+def lines(spark: SparkSession, d: str) -> Sequence:
     return from_parquet(spark, f"{d}/lineitem.parquet", key="l_partkey", value="l_suppkey")
 
 
-def _add(name: str, table, build, sql: str) -> None:
-    QUERIES[name] = lambda spark, d: build(table(spark, d))
-    SQL[name] = sql
+EV = "(SELECT event_id AS pos, user_id AS value FROM events)"
+KV = "(SELECT o_orderkey AS pos, o_custkey AS key, o_orderkey AS value FROM orders)"
+PARTS = "(SELECT l_partkey AS key, l_suppkey AS value FROM lineitem)"
 
 
-_EV = "(SELECT event_id AS pos, user_id AS value FROM events)"
-_KV = "(SELECT o_orderkey AS pos, o_custkey AS key, o_orderkey AS value FROM orders)"
-_PREDICATES = {"eq": (Equal(17), "value = 17"), "ne": (NotEqual(17), "value <> 17"), "lt": (LessThan(40), "value < 40"), "le": (LessThanOrEqual(40), "value <= 40"), "gt": (GreaterThan(40), "value > 40"), "ge": (GreaterThanOrEqual(40), "value >= 40"), "between": (Between(10, 40), "value BETWEEN 10 AND 40"), "between_empty": (Between(9, 3), "value BETWEEN 9 AND 3")}
+def query(name: str, table, sql: str):
+    """Register a function of a sequence under a name, with its SQL."""
 
-for _k, (_p, _s) in _PREDICATES.items():
-    _add(f"mask_{_k}", _events, lambda q, p=_p: ops.mask(q, p).df.select("pos", "mask"), f"SELECT pos, ({_s})::INTEGER AS mask FROM {_EV}")
-_add("mask_kv_key", _orders, lambda q: ops.mask(q, Equal(7), "key").df.select("pos", "mask"), f"SELECT pos, (key = 7)::INTEGER AS mask FROM {_KV}")
-_add("mask_kv_value", _orders, lambda q: ops.mask(q, Between(40, 700), "value").df.select("pos", "mask"), f"SELECT pos, (value BETWEEN 40 AND 700)::INTEGER AS mask FROM {_KV}")
-_add("mask_two_predicates", _events, lambda q: ops.masks(q, low=LessThan(10), high=GreaterThanOrEqual(13)).df.select("pos", "low", "high"), f"SELECT pos, (value < 10)::INTEGER AS low, (value >= 13)::INTEGER AS high FROM {_EV}")
+    def add(build):
+        QUERIES[name] = lambda spark, d: build(table(spark, d))
+        SQL[name] = sql
+        return build
 
-_DST = "(row_number() OVER (ORDER BY pos) - 1)::BIGINT AS dst"
-_add("compact_u32", _events, lambda q: ops.dense(Pipeline(q).where(Between(10, 40)).seq).select("dst", "value"), f"SELECT {_DST}, value FROM {_EV} WHERE value BETWEEN 10 AND 40")
-_add("compact_kv", _orders, lambda q: ops.dense(Pipeline(q).where(Between(10, 400), "key").seq).select("dst", "key", "value"), f"SELECT {_DST}, key, value FROM {_KV} WHERE key BETWEEN 10 AND 400")
-_add("compact_with_mask", _events, lambda q: ops.dense(ops.compact_with(q, ops.mask(q, LessThan(40)).with_df(q.df.withColumn("value", (F.col("value") < 40).cast("long"))))).select("dst", "value"), f"SELECT {_DST}, value FROM {_EV} WHERE value < 40")
-_add("compact_count", _events, lambda q: Pipeline(q).where(Between(10, 40)).count(), f"SELECT count(*) AS n FROM {_EV} WHERE value BETWEEN 10 AND 40")
-_add("compact_all", _events, lambda q: ops.dense(Pipeline(q).where(GreaterThanOrEqual(0)).seq).select("dst", "value"), f"SELECT {_DST}, value FROM {_EV}")
-_add("compact_none", _events, lambda q: ops.dense(Pipeline(q).where(GreaterThan(4294967295)).seq).select("dst", "value"), f"SELECT {_DST}, value FROM {_EV} WHERE value > 4294967295")
+    return add
 
-_INC = f"SELECT pos, (SUM(value) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) % {_M})::BIGINT AS value FROM {_EV}"
-_EXC = f"SELECT pos, (COALESCE(SUM(value) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % {_M})::BIGINT AS value FROM {_EV}"
-_BIG = f"(SELECT event_id AS pos, (user_id * 40000003) % {_M} AS value FROM events)"
 
+def ranked(q: Sequence, strategy: str = "auto") -> DataFrame:
+    return ops.dense(q, "rank", strategy).select("rank", *q.fields)
 
-def _big(q: Sequence) -> Sequence:
-    return q.with_df(q.df.withColumn("value", F.pmod(F.col("value") * 40000003, F.lit(_M))))
 
+def below(q: Sequence, most: int, field: str = "value") -> DataFrame:
+    """A lazy count: elements of a field below most."""
+    return Pipeline(q).where(LessThan(most), field).count()
 
-_add("scan_inclusive", _events, lambda q: ops.scan(q).df, _INC)
-_add("scan_exclusive", _events, lambda q: ops.scan(q, inclusive=False).df, _EXC)
-_add("scan_single_window", _events, lambda q: ops.scan(q, strategy="window").df, _INC)
-_add("scan_bucketed", _events, lambda q: ops.scan(q, strategy="buckets", bucket=1000).df, _INC)
-_add("scan_exclusive_bucketed", _events, lambda q: ops.scan(q, False, "buckets", 1000).df, _EXC)
-_add("scan_wrapping", _events, lambda q: ops.scan(_big(q)).df, _INC.replace(_EV, _BIG))
 
-for _k in ("sum", "min", "max"):
-    _f = f"(SUM(value) % {_M})" if _k == "sum" else f"{_k}(value)"
-    _e = {"sum": 0, "min": 4294967295, "max": 0}[_k]
-    _add(f"reduce_{_k}", _events, lambda q, k=_k: ops.reduce(q, k), f"SELECT {_f}::BIGINT AS value FROM {_EV}")
-    _add(f"reduce_{_k}_lineitem", _lines, lambda q, k=_k: ops.reduce(q, k), f"SELECT {_f}::BIGINT AS value FROM (SELECT l_suppkey AS value FROM lineitem)")
-    _add(f"reduce_empty_{_k}", _events, lambda q, k=_k: Pipeline(q).where(GreaterThan(4294967295)).reduce(k), f"SELECT COALESCE({_f}, {_e})::BIGINT AS value FROM {_EV} WHERE value > 4294967295")
-    _add(f"reduce_counted_{_k}", _events, lambda q, k=_k: ops.reduce(q.counted(Pipeline(q).where(LessThan(40)).count()), k), f"SELECT COALESCE({_f}, {_e})::BIGINT AS value FROM {_EV} WHERE pos < (SELECT count(*) FROM {_EV} WHERE value < 40)")
-_add("reduce_sum_wrapping", _events, lambda q: ops.reduce(_big(q)), f"SELECT (SUM(value)::HUGEINT % {_M})::BIGINT AS value FROM {_BIG}")
-_add("reduce_counted_overcap", _events, lambda q: ops.reduce(q.counted(q.count().select((F.col("n") + 100).alias("n")), 500)), f"SELECT (SUM(value) % {_M})::BIGINT AS value FROM {_EV} WHERE pos < 500")
+# Masks
 
-for _b in (1, 7, 256):
-    _add(f"histogram_{_b}", _events, lambda q, b=_b: ops.histogram(q, b), f"SELECT b.range AS bin, count(value)::BIGINT AS count FROM range({_b}) b LEFT JOIN {_EV} ON value = b.range GROUP BY 1")
-_add("histogram_lineitem", lambda s, d: from_parquet(s, f"{d}/lineitem.parquet", value="l_linenumber"), lambda q: ops.histogram(q, 8), "SELECT b.range AS bin, count(l_linenumber)::BIGINT AS count FROM range(8) b LEFT JOIN lineitem ON l_linenumber = b.range GROUP BY 1")
-_add("histogram_out_of_range", _events, lambda q: ops.histogram(q.with_df(q.df.withColumn("value", F.col("value") * 2)), 64), f"SELECT b.range AS bin, count(value)::BIGINT AS count FROM range(64) b LEFT JOIN {_EV} ON value * 2 = b.range GROUP BY 1")
+PREDICATES = {
+    "eq": (Equal(17), "value = 17"),
+    "ne": (NotEqual(17), "value <> 17"),
+    "lt": (LessThan(40), "value < 40"),
+    "le": (LessThanOrEqual(40), "value <= 40"),
+    "gt": (GreaterThan(40), "value > 40"),
+    "ge": (GreaterThanOrEqual(40), "value >= 40"),
+    "between": (Between(10, 40), "value BETWEEN 10 AND 40"),
+    "between_empty": (Between(9, 3), "value BETWEEN 9 AND 3"),
+}
+for _name, (_p, _sql) in PREDICATES.items():
+    query(f"mask_{_name}", events, f"SELECT pos, ({_sql})::INTEGER AS mask FROM {EV}")(lambda q, p=_p: ops.mask(q, p).df.select("pos", "mask"))
 
-_RUNS = "WITH e AS (SELECT pos, value // 200 AS value FROM {src}), h AS (SELECT pos, value, (value IS DISTINCT FROM lag(value) OVER (ORDER BY pos))::INTEGER AS head FROM e), r AS (SELECT *, SUM(head) OVER (ORDER BY pos) - 1 AS run FROM h) SELECT run::BIGINT AS run, min(value) AS value, count(*) AS length FROM r GROUP BY run"
 
+@query("mask_kv_key", orders, f"SELECT pos, (key = 7)::INTEGER AS mask FROM {KV}")
+def mask_kv_key(q):
+    return ops.mask(q, Equal(7), "key").df.select("pos", "mask")
 
-def _coarse(q: Sequence) -> Sequence:
-    return q.with_df(q.df.withColumn("value", F.expr("value div 200")))
 
+@query("mask_kv_value", orders, f"SELECT pos, (value BETWEEN 40 AND 700)::INTEGER AS mask FROM {KV}")
+def mask_kv_value(q):
+    return ops.mask(q, Between(40, 700), "value").df.select("pos", "mask")
 
-_add("rle_unsorted", _events, lambda q: ops.run_length_encode(_coarse(q)), _RUNS.format(src=_EV))
-_add("rle_bucketed", _events, lambda q: ops.run_length_encode(_coarse(q), "buckets", 777), _RUNS.format(src=_EV))
-_add("rle_counted", _events, lambda q: ops.run_length_encode(_coarse(q).counted(Pipeline(q).where(LessThan(40)).count())), _RUNS.format(src=f"(SELECT * FROM {_EV} WHERE pos < (SELECT count(*) FROM {_EV} WHERE value < 40))"))
-_SRT = f"SELECT (row_number() OVER (ORDER BY value) - 1)::BIGINT AS run, value, count(*) AS length FROM {_EV} GROUP BY value"
-_add("rle_sorted", _events, lambda q: Pipeline(q).sort().run_length_encode(), _SRT)
-_add("rle_sorted_length_sum", _events, lambda q: Pipeline(q).sort().run_length_encode().agg(F.sum("length").alias("value"), F.count(F.lit(1)).alias("runs")), f"SELECT count(*) AS value, count(DISTINCT value) AS runs FROM {_EV}")
 
-_U = f"SELECT (row_number() OVER (ORDER BY value, pos) - 1)::BIGINT AS rank, value FROM {_EV}"
-_S = f"SELECT (row_number() OVER (ORDER BY key, pos) - 1)::BIGINT AS rank, key, value FROM {_KV}"
+@query("mask_two_predicates", events, f"SELECT pos, (value < 10)::INTEGER AS low, (value >= 13)::INTEGER AS high FROM {EV}")
+def mask_two_predicates(q):
+    return ops.masks(q, low=LessThan(10), high=GreaterThanOrEqual(13)).df.select("pos", "low", "high")
 
 
-def _ranked(q: Sequence, strategy: str = "auto") -> DataFrame:
-    return ops.dense(q, "rank", strategy, 1000 if strategy == "buckets" else 1 << 17).select("rank", *q.fields)
+@query("mask_immediate", events, f"SELECT pos, (value < 40)::INTEGER AS mask FROM {EV}")
+def mask_immediate(q):
+    return immediate(ops.mask(q, LessThan(40)).df).select("pos", "mask")
 
 
-_add("sort_u32", _events, lambda q: _ranked(ops.sort(q)), _U)
-_add("sort_u32_keybits", _events, lambda q: _ranked(ops.sort(q, key_bits=16)), _U)
-_add("sort_u32_bucketed", _events, lambda q: _ranked(ops.sort(q), "buckets"), _U)
-_add("sort_kv_stable", _orders, lambda q: _ranked(ops.sort(q)), _S)
-_add("sort_kv_keybits", _orders, lambda q: _ranked(ops.sort(q, key_bits=16)), _S)
-_add("sort_kv_bucketed", _orders, lambda q: _ranked(ops.sort(q), "buckets"), _S)
-_add("sort_soa", _orders, lambda q: _ranked(ops.sort(q, "key")), _S)
-_add("sort_u32_counted", _events, lambda q: _ranked(ops.sort(q.counted(Pipeline(q).where(LessThan(40)).count()))), _U + f" WHERE pos < (SELECT count(*) FROM {_EV} WHERE value < 40)")
-_add("sort_kv_counted", _orders, lambda q: _ranked(ops.sort(q.counted(Pipeline(q).where(LessThan(400), "key").count(), 5000))), _S + f" WHERE pos < LEAST((SELECT count(*) FROM {_KV} WHERE key < 400), 5000)")
+# Compaction
 
-_A = "SELECT key, value FROM {src} ORDER BY key, value LIMIT 1"
-_add("argmin", _orders, ops.argmin_by_key, _A.format(src=_KV))
-_add("argmin_lineitem", _lines, ops.argmin_by_key, _A.format(src="(SELECT l_partkey AS key, l_suppkey AS value FROM lineitem)"))
-_add("argmin_counted", _orders, lambda q: ops.argmin_by_key(q.counted(Pipeline(q).where(LessThan(100), "key").count())), _A.format(src=f"(SELECT * FROM {_KV} WHERE pos < (SELECT count(*) FROM {_KV} WHERE key < 100))"))
-_add("argmin_empty", _orders, lambda q: ops.argmin_by_key(ops.compact(ops.mask(q, GreaterThan(4294967295), "key"))), "SELECT 4294967295::BIGINT AS key, 4294967295::BIGINT AS value")
-_add("slice", _events, lambda q: q.slice(64, 320).df.select("pos", "value"), f"SELECT pos - 64 AS pos, value FROM {_EV} WHERE pos >= 64 AND pos < 320")
-_add("counted_length", _events, lambda q: q.counted(Pipeline(q).where(LessThan(40)).count(), 100).count(), f"SELECT LEAST(count(*), 100) AS n FROM {_EV} WHERE value < 40")
+DST = "(row_number() OVER (ORDER BY pos) - 1)::BIGINT AS dst"
 
-_add("pipeline_particle", _orders, lambda q: _ranked(Pipeline(q).where(Between(100, 700), "key").sort_by_key(16).seq), _S + " WHERE key BETWEEN 100 AND 700")
-_add("pipeline_resident", _events, lambda q: (lambda p: p.sort().reduce().crossJoin(F.broadcast(p.count())))(Pipeline(q).where(GreaterThanOrEqual(8))), f"SELECT (SUM(value) % {_M})::BIGINT AS value, count(*) AS n FROM {_EV} WHERE value >= 8")
-_add("pipeline_sort_rle_reduce", _events, lambda q: Pipeline(q).sort().run_length_encode().agg(F.pmod(F.sum("length"), F.lit(_M)).alias("value")), f"SELECT count(*) AS value FROM {_EV}")
-_add("pipeline_compact_argmin", _orders, lambda q: Pipeline(q).where(Between(100, 700), "key").argmin_by_key(), _A.format(src=f"(SELECT * FROM {_KV} WHERE key BETWEEN 100 AND 700)"))
+
+@query("compact_u32", events, f"SELECT {DST}, value FROM {EV} WHERE value BETWEEN 10 AND 40")
+def compact_u32(q):
+    return ops.dense(Pipeline(q).where(Between(10, 40)).seq).select("dst", "value")
+
+
+@query("compact_u32_ranges", events, f"SELECT {DST}, value FROM {EV} WHERE value BETWEEN 10 AND 40")
+def compact_u32_ranges(q):
+    return ops.dense(Pipeline(q).where(Between(10, 40)).seq, strategy="range").select("dst", "value")
+
+
+@query("compact_kv", orders, f"SELECT {DST}, key, value FROM {KV} WHERE key BETWEEN 10 AND 400")
+def compact_kv(q):
+    return ops.dense(Pipeline(q).where(Between(10, 400), "key").seq).select("dst", "key", "value")
+
+
+@query("compact_with_mask", events, f"SELECT {DST}, value FROM {EV} WHERE value < 40")
+def compact_with_mask(q):
+    flags = q.mapped(value=(F.col("value") < 40).cast("long"))
+    return ops.dense(ops.compact_with(q, flags)).select("dst", "value")
+
+
+@query("compact_count", events, f"SELECT count(*) AS n FROM {EV} WHERE value BETWEEN 10 AND 40")
+def compact_count(q):
+    return Pipeline(q).where(Between(10, 40)).count()
+
+
+@query("compact_all", events, f"SELECT {DST}, value FROM {EV}")
+def compact_all(q):
+    return ops.dense(Pipeline(q).where(GreaterThanOrEqual(0)).seq).select("dst", "value")
+
+
+@query("compact_none", events, f"SELECT {DST}, value FROM {EV} WHERE value > {TOP}")
+def compact_none(q):
+    return ops.dense(Pipeline(q).where(GreaterThan(TOP)).seq).select("dst", "value")
+
+
+# Scans
+
+BIG = f"(SELECT event_id AS pos, (user_id * 40000003) % {U32} AS value FROM events)"
+
+
+def big(q: Sequence) -> Sequence:
+    return q.mapped(value=F.pmod(F.col("value") * 40000003, F.lit(U32)))
+
+
+def scan_sql(source: str, frame: str = "UNBOUNDED PRECEDING") -> str:
+    return f"SELECT pos, (COALESCE(SUM(value) OVER (ORDER BY pos ROWS {frame}), 0) % {U32})::BIGINT AS value FROM {source}"
+
+
+EXCLUSIVE = "BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+query("scan_inclusive", events, scan_sql(EV))(lambda q: ops.scan(q).df)
+query("scan_exclusive", events, scan_sql(EV, EXCLUSIVE))(lambda q: ops.scan(q, inclusive=False).df)
+query("scan_bucketed", events, scan_sql(EV))(lambda q: ops.scan(q, strategy="buckets", bucket=1000).df)
+query("scan_exclusive_bucketed", events, scan_sql(EV, EXCLUSIVE))(lambda q: ops.scan(q, False, "buckets", 1000).df)
+query("scan_wrapping", events, scan_sql(BIG))(lambda q: ops.scan(big(q)).df)
+
+
+@query("scan_single_window", orders, scan_sql("(SELECT o_orderkey AS pos, o_custkey AS value FROM orders)"))
+def scan_single_window(q):
+    keys = Sequence(q.rows.select("pos", F.col("key").alias("value")))
+    return ops.scan(keys, strategy="window").df
+
+
+# Reductions
+
+SUMMED = f"(SUM(value) % {U32})"
+COUNTED_40 = f"(SELECT count(*) FROM {EV} WHERE value < 40)"
+for _op, _f, _empty in (("sum", SUMMED, 0), ("min", "min(value)", TOP), ("max", "max(value)", 0)):
+    query(f"reduce_{_op}", events, f"SELECT {_f}::BIGINT AS value FROM {EV}")(lambda q, k=_op: ops.reduce(q, k))
+    query(f"reduce_{_op}_lineitem", lines, f"SELECT {_f}::BIGINT AS value FROM {PARTS}")(lambda q, k=_op: ops.reduce(q, k))
+    query(f"reduce_empty_{_op}", events, f"SELECT COALESCE({_f}, {_empty})::BIGINT AS value FROM {EV} WHERE value > {TOP}")(lambda q, k=_op: Pipeline(q).where(GreaterThan(TOP)).reduce(k))
+    query(f"reduce_counted_{_op}", events, f"SELECT COALESCE({_f}, {_empty})::BIGINT AS value FROM {EV} WHERE pos < {COUNTED_40}")(lambda q, k=_op: ops.reduce(q.counted(below(q, 40)), k))
+
+
+@query("reduce_sum_wrapping", events, f"SELECT (SUM(value)::HUGEINT % {U32})::BIGINT AS value FROM {BIG}")
+def reduce_sum_wrapping(q):
+    return ops.reduce(big(q))
+
+
+@query("reduce_counted_overcap", events, f"SELECT {SUMMED}::BIGINT AS value FROM {EV} WHERE pos < 500")
+def reduce_counted_overcap(q):
+    return ops.reduce(q.counted(q.count().select((F.col("n") + 100).alias("n")), 500))
+
+
+# Histograms
+
+
+def histogram_sql(bins: int, source: str) -> str:
+    return f"SELECT b.range AS bin, count(value)::BIGINT AS count FROM range({bins}) b LEFT JOIN {source} ON value = b.range GROUP BY 1"
+
+
+for _bins in (1, 7, 256):
+    query(f"histogram_{_bins}", events, histogram_sql(_bins, EV))(lambda q, b=_bins: ops.histogram(q, b))
+query("histogram_out_of_range", events, histogram_sql(64, "(SELECT user_id * 2 AS value FROM events)"))(lambda q: ops.histogram(q.mapped(value=F.col("value") * 2), 64))
+
+
+def line_numbers(spark: SparkSession, d: str) -> Sequence:
+    return from_parquet(spark, f"{d}/lineitem.parquet", value="l_linenumber")
+
+
+query("histogram_lineitem", line_numbers, histogram_sql(8, "(SELECT l_linenumber AS value FROM lineitem)"))(lambda q: ops.histogram(q, 8))
+
+
+# Run lengths
+
+#: Runs of 1 (the values as they are), of 3 to 5 in a cycle, and of 2,500 that cross buckets among those.
+CYCLE = "CASE WHEN pos % 9 BETWEEN 3 AND 6 THEN 1 ELSE 4 END"
+MIXED = "CASE WHEN pos % 4000 < 2500 THEN 100 ELSE {cycle} END"
+
+
+def runs_sql(source: str) -> str:
+    return f"""
+WITH h AS (SELECT pos, value, (value IS DISTINCT FROM lag(value) OVER (ORDER BY pos))::INTEGER AS head FROM {source}),
+r AS (SELECT *, SUM(head) OVER (ORDER BY pos) - 1 AS run FROM h)
+SELECT run::BIGINT AS run, min(value) AS value, count(*) AS length FROM r GROUP BY run
+"""
+
+
+MIXED_SQL = f"(SELECT event_id AS pos, {MIXED.format(cycle=CYCLE)}::BIGINT AS value FROM (SELECT *, event_id AS pos FROM events))"
+
+
+def mixed(q: Sequence) -> Sequence:
+    return q.mapped(value=F.expr(MIXED.format(cycle=CYCLE)).cast("long"))
+
+
+query("rle_unsorted", events, runs_sql(EV))(lambda q: ops.run_length_encode(q))
+query("rle_mixed", events, runs_sql(MIXED_SQL))(lambda q: ops.run_length_encode(mixed(q)))
+query("rle_bucketed", events, runs_sql(MIXED_SQL))(lambda q: ops.run_length_encode(mixed(q), "buckets", 777))
+query("rle_counted", events, runs_sql(f"(SELECT * FROM {MIXED_SQL} WHERE pos < {COUNTED_40})"))(lambda q: ops.run_length_encode(mixed(q).counted(below(q, 40))))
+query("rle_counted_bucketed", events, runs_sql(f"(SELECT * FROM {EV} WHERE pos < {COUNTED_40})"))(lambda q: ops.run_length_encode(q.counted(below(q, 40)), "buckets", 500))
+
+SORTED_RUNS = f"SELECT (row_number() OVER (ORDER BY value) - 1)::BIGINT AS run, value, count(*) AS length FROM {EV} GROUP BY value"
+query("rle_sorted", events, SORTED_RUNS)(lambda q: Pipeline(q).sort().run_length_encode())
+query("rle_sorted_ranges", events, SORTED_RUNS)(lambda q: ops.run_length_encode(ops.sort(q), "buckets"))
+
+
+@query("rle_sorted_length_sum", events, f"SELECT count(*) AS value, count(DISTINCT value) AS runs FROM {EV}")
+def rle_sorted_length_sum(q):
+    return Pipeline(q).sort().run_length_encode().agg(F.sum("length").alias("value"), F.count(F.lit(1)).alias("runs"))
+
+
+# Sorts
+
+
+def sorted_sql(source: str, key: str = "value", fields: str = "value") -> str:
+    return f"SELECT (row_number() OVER (ORDER BY {key}, pos) - 1)::BIGINT AS rank, {fields} FROM {source}"
+
+
+U_SQL, KV_SQL = sorted_sql(EV), sorted_sql(KV, "key", "key, value")
+query("sort_u32", events, U_SQL)(lambda q: ranked(ops.sort(q)))
+query("sort_u32_keybits", events, U_SQL)(lambda q: ranked(ops.sort(q, key_bits=16)))
+query("sort_u32_bucketed", events, U_SQL)(lambda q: ranked(ops.sort(q), "range"))
+query("sort_kv_stable", orders, KV_SQL)(lambda q: ranked(ops.sort(q)))
+query("sort_kv_keybits", orders, KV_SQL)(lambda q: ranked(ops.sort(q, key_bits=16)))
+query("sort_kv_bucketed", orders, KV_SQL)(lambda q: ranked(ops.sort(q), "range"))
+query("sort_kv_by_value", orders, sorted_sql(KV, "-key", "value, key"))(lambda q: ranked(ops.sort(q.mapped(key=F.col("value"), value=F.lit(TOP) - F.col("key")), "value")).select("rank", F.col("key").alias("value"), (F.lit(TOP) - F.col("value")).alias("key")))
+
+
+@query("sort_u32_rows", events, f"SELECT value, pos FROM {EV}")
+def sort_u32_rows(q):
+    """The sorted rows themselves; how they lie is in tests."""
+    return ops.sort(q).df.select("value", "pos")
+
+
+@query("sort_kv_twice", orders, f"SELECT (row_number() OVER (ORDER BY key, bits, pos) - 1)::BIGINT AS rank, key, bits AS value FROM (SELECT pos, key, value % 8 AS bits FROM {KV})")
+def sort_kv_twice(q):
+    """Equal keys keep the order that the sort by value gave them."""
+    return ranked(ops.sort(ops.sort(q.mapped(value=F.col("value") % 8), "value"), "key"))
+
+
+SOA = "(SELECT event_id AS pos, user_id AS key, (event_id * 7) AS value FROM events)"
+
+
+def columns(spark: SparkSession, d: str) -> Sequence:
+    """Keys and values as two columns of a table."""
+    q = events(spark, d)
+    return Sequence(q.rows.select("pos", F.col("value").alias("key"), (F.col("pos") * 7).alias("value")), ("key", "value"))
+
+
+def metadata(q: Sequence) -> DataFrame:
+    """One row of several words, one of them a count."""
+    return q.rows.agg(F.max("value").alias("other"), F.count_if(F.col("key") < 40).alias("found"))
+
+
+query("sort_soa", columns, sorted_sql(SOA, "key", "key, value"))(lambda q: ranked(ops.sort(q, "key")))
+
+
+@query("sort_soa_count_word", columns, sorted_sql(f"(SELECT * FROM {SOA} WHERE pos < {COUNTED_40})", "key", "key, value"))
+def sort_soa_count_word(q):
+    return ranked(ops.sort(q.counted(count_at(metadata(q), "found"))))
+
+
+@query("sort_u32_counted", events, f"{U_SQL} WHERE pos < {COUNTED_40}")
+def sort_u32_counted(q):
+    return ranked(ops.sort(q.counted(below(q, 40))))
+
+
+COUNTED_KV = f"LEAST((SELECT count(*) FROM {KV} WHERE key < 400), 5000)"
+
+
+@query("sort_kv_counted", orders, f"{KV_SQL} WHERE pos < {COUNTED_KV}")
+def sort_kv_counted(q):
+    return ranked(ops.sort(q.counted(below(q, 400, "key"), 5000)))
+
+
+# Argmin
+
+LEAST = "SELECT key, value FROM {src} ORDER BY key, value LIMIT 1"
+query("argmin", orders, LEAST.format(src=KV))(ops.argmin_by_key)
+query("argmin_lineitem", lines, LEAST.format(src=PARTS))(ops.argmin_by_key)
+
+
+@query("argmin_counted", orders, LEAST.format(src=f"(SELECT * FROM {KV} WHERE pos < (SELECT count(*) FROM {KV} WHERE key < 100))"))
+def argmin_counted(q):
+    return ops.argmin_by_key(q.counted(below(q, 100, "key")))
+
+
+@query("argmin_empty", orders, f"SELECT {TOP}::BIGINT AS key, {TOP}::BIGINT AS value")
+def argmin_empty(q):
+    return ops.argmin_by_key(ops.compact(ops.mask(q, GreaterThan(TOP), "key")))
+
+
+# Slices and counts
+
+
+@query("slice", events, f"SELECT pos - 64 AS pos, value FROM {EV} WHERE pos >= 64 AND pos < 320")
+def slice_(q):
+    return q.slice(64, 320).df.select("pos", "value")
+
+
+@query("counted_length", events, f"SELECT LEAST(count(*), 100) AS n FROM {EV} WHERE value < 40")
+def counted_length(q):
+    return q.counted(below(q, 40), 100).count()
+
+
+#: Counts of nothing, of the capacity, and far beyond it.
+for _name, _n, _cap in (("zero", 0, 700), ("capacity", 700, 700), ("beyond", TOP, 700)):
+    query(f"counted_{_name}", events, f"SELECT pos, value FROM {EV} WHERE pos < {min(_n, _cap)}")(lambda q, n=_n, c=_cap: q.counted(q.rows.agg(F.lit(n).cast("long").alias("n")), c).df.select("pos", "value"))
+
+
+PLAN_SQL = f"""
+WITH p AS (SELECT * FROM {KV} WHERE pos < {COUNTED_KV})
+SELECT (SELECT count(*) FROM p) AS n, (SELECT SUM(value) % {U32} FROM p)::BIGINT AS total, (SELECT min(value) FROM p) AS least,
+       (SELECT key FROM p ORDER BY key, value LIMIT 1) AS key, (SELECT value FROM p ORDER BY key, value LIMIT 1) AS value
+"""
+
+
+def shared_plan(q: Sequence, dispatch: Dispatch) -> DataFrame:
+    """One count for several consumers, in one row."""
+    plan = CountPlan(count_at(below(q, 400, "key"), "n"), 5000, dispatch)
+    p = plan.of(q)
+    sums = ops.reduce(p).withColumnRenamed("value", "total").crossJoin(ops.reduce(p, "min").withColumnRenamed("value", "least"))
+    return plan.clamped().count.crossJoin(sums).crossJoin(ops.argmin_by_key(p))
+
+
+query("count_plan_indirect", orders, PLAN_SQL)(lambda q: shared_plan(q, Dispatch.INDIRECT))
+query("count_plan_capacity", orders, PLAN_SQL)(lambda q: shared_plan(q, Dispatch.CAPACITY))
+for _d in Dispatch:
+    query(f"count_plan_sort_{_d.value}", orders, f"{KV_SQL} WHERE pos < {COUNTED_KV}")(lambda q, d=_d: ranked(ops.sort(CountPlan(count_at(below(q, 400, "key"), "n"), 5000, d).of(q))))
+
+
+# Chains
+
+SORTED = f"(SELECT row_number() OVER (ORDER BY value, pos) - 1 AS pos, value FROM {EV})"
+KEPT = f"(SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, value FROM {EV} WHERE value >= 8)"
+
+query("sort_scan", events, scan_sql(SORTED))(lambda q: Pipeline(q).sort().scan().seq.df.select("pos", "value"))
+query("sort_scan_bucketed", events, scan_sql(SORTED))(lambda q: ops.scan(ops.sort(q), strategy="buckets", bucket=900).df)
+query("sort_slice", events, f"SELECT pos - 50 AS pos, value FROM {SORTED} WHERE pos >= 50 AND pos < 250")(lambda q: Pipeline(q).sort().slice(50, 250).seq.df.select("pos", "value"))
+query("sort_counted", events, f"SELECT pos, value FROM {SORTED} WHERE pos < {COUNTED_40}")(lambda q: Pipeline(q).sort().counted(below(q, 40)).seq.df.select("pos", "value"))
+query("compact_counted", events, f"SELECT pos, value FROM {KEPT} WHERE pos < {COUNTED_40}")(lambda q: Pipeline(q).where(GreaterThanOrEqual(8)).counted(below(q, 40)).seq.df.select("pos", "value"))
+query("compact_slice", events, f"SELECT pos - 50 AS pos, value FROM {KEPT} WHERE pos >= 50 AND pos < 250")(lambda q: Pipeline(q).where(GreaterThanOrEqual(8)).slice(50, 250).seq.df.select("pos", "value"))
+query("compact_scan", events, scan_sql(KEPT, EXCLUSIVE))(lambda q: Pipeline(q).where(GreaterThanOrEqual(8)).scan(False).seq.df.select("pos", "value"))
+query("compact_rle", events, runs_sql(f"(SELECT pos, value // 40 AS value FROM {KEPT})"))(lambda q: ops.run_length_encode(ops.compact(ops.mask(q, GreaterThanOrEqual(8))).mapped(value=F.expr("value div 40"))))
+query("scan_sort", events, sorted_sql(f"({scan_sql(BIG)})"))(lambda q: ranked(ops.sort(ops.scan(big(q)))))
+
+
+@query("sort_compact_with", events, f"SELECT {DST}, value FROM {SORTED} WHERE pos % 3 = 1")
+def sort_compact_with(q):
+    """Flags by place, on the sorted elements."""
+    flags = q.mapped(value=(F.col("pos") % 3 == 1).cast("long"))
+    return ops.dense(ops.compact_with(ops.sort(q), flags)).select("dst", "value")
+
+
+@query("pipeline_particle", orders, f"{KV_SQL} WHERE key BETWEEN 100 AND 700")
+def pipeline_particle(q):
+    return ranked(Pipeline(q).where(Between(100, 700), "key").sort_by_key(16).seq)
+
+
+@query("pipeline_resident", events, f"SELECT {SUMMED}::BIGINT AS value, count(*) AS n FROM {EV} WHERE value >= 8")
+def pipeline_resident(q):
+    kept = Pipeline(q).where(GreaterThanOrEqual(8))
+    return kept.sort().reduce().crossJoin(F.broadcast(kept.count()))
+
+
+@query("pipeline_sort_rle_reduce", events, f"SELECT count(*) AS value FROM {EV}")
+def pipeline_sort_rle_reduce(q):
+    return Pipeline(q).sort().run_length_encode().agg(F.pmod(F.sum("length"), F.lit(U32)).alias("value"))
+
+
+@query("pipeline_compact_argmin", orders, LEAST.format(src=f"(SELECT * FROM {KV} WHERE key BETWEEN 100 AND 700)"))
+def pipeline_compact_argmin(q):
+    return Pipeline(q).where(Between(100, 700), "key").argmin_by_key()
+
+
+PROFILE_SQL = f"""
+WITH n AS (SELECT count(*) AS every, count(*) FILTER (value >= 8) AS kept, count(DISTINCT value) FILTER (value >= 8) AS runs FROM {EV})
+SELECT 0::BIGINT AS span, 'predicate.mask' AS label, every AS rows FROM n UNION ALL SELECT 1, 'compact.count', 1 UNION ALL
+SELECT 2, 'compact.scatter', kept FROM n UNION ALL SELECT 3, 'sort.within', kept FROM n UNION ALL
+SELECT 4, 'run_length.mark', kept FROM n UNION ALL SELECT 5, 'run_length.finalize', runs FROM n
+"""
+
+
+@query("profile_pipeline", events, PROFILE_SQL)
+def profile_pipeline(q):
+    """Spans of a chain: their labels and rows (their times are in tests)."""
+    chain = Pipeline(q).where(GreaterThanOrEqual(8)).sort()
+    spans = chain.profile("run_length", ops.run_length_encode).spans
+    return q.rows.sparkSession.createDataFrame([(i, s.label, s.rows) for i, s in enumerate(spans)], "span long, label string, rows long")

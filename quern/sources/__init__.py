@@ -33,20 +33,31 @@ def from_columns(spark: SparkSession, keys: list[int], values: list[int]) -> Seq
     return from_records(spark, list(zip(keys, values, strict=True)))
 
 
-def from_table(df: DataFrame, value: str, key: str | None = None, order_by: str | None = None, capacity: int | None = None, validate: bool = False) -> Sequence:
+def from_table(
+    df: DataFrame,
+    value: str,
+    key: str | None = None,
+    order_by: str | None = None,
+    capacity: int | None = None,
+    validate: bool = False,
+    dense: bool = False,
+) -> Sequence:
     """A sequence over a table's columns.
 
-    order_by: a unique ordinal, dense from 0 if slices, clamps or bucketed plans are to be used. Without it
-    only order-free operators (mask, reduce, histogram, argmin) are allowed.
-    validate: raise at run time where a value is null or outside the domain. Off, values are trusted, so that
-    predicates still reach the Parquet scan.
+    order_by: a unique ordinal; rows where it is null come first. Without it only order-free operators (mask, reduce,
+    histogram, argmin) are allowed. dense: it counts the rows from 0 without gaps, which spares what depends on
+    places the shuffle that numbers them.
+    validate: raise at run time where an ordinal is null, or a value null or outside the domain. Off, values are
+    trusted, so that predicates still reach the Parquet scan.
     """
     name = {"key": key, "value": value}
-    cols = [F.col(c).cast("long").alias(k) for k, c in name.items() if c is not None]
+    cols = {k: F.col(c).cast("long") for k, c in name.items() if c is not None}
+    pos = {"pos": F.col(order_by).cast("long")} if order_by else {}
     if validate:
-        cols = [checked(F.col(c).cast("long"), k).alias(k) for k, c in name.items() if c is not None]
-    pos = [F.col(order_by).cast("long").alias("pos")] if order_by else []
-    return Sequence(df.select(*pos, *cols), ("key", "value") if key else ("value",), None, capacity, None, bool(order_by))
+        cols = {k: checked(c, k) for k, c in cols.items()}
+        pos = {k: F.coalesce(c, F.raise_error(F.lit("null ordinal")).cast("long")) for k, c in pos.items()}
+    rows = df.select(*(c.alias(k) for k, c in (pos | cols).items()))
+    return Sequence(rows, ("key", "value") if key else ("value",), None, capacity, None, bool(order_by), dense)
 
 
 def from_parquet(spark: SparkSession, path: str, **roles) -> Sequence:
@@ -56,7 +67,7 @@ def from_parquet(spark: SparkSession, path: str, **roles) -> Sequence:
 def in_order(seq: Sequence) -> DataFrame:
     """The rows sorted as the sequence orders them."""
     seq.needs_order("in_order")
-    return seq.df.orderBy(*([seq.sorted_by] if seq.sorted_by else []), "pos")
+    return seq.rows.orderBy(*seq.order)
 
 
 def to_list(seq: Sequence) -> list:
@@ -66,8 +77,11 @@ def to_list(seq: Sequence) -> list:
 
 
 def to_parquet(seq: Sequence, path: str, mode: str = "errorifexists", capacity: int | None = None) -> None:
-    """Write in order: range-partitioned files, sorted within, so that readers keep min/max pruning."""
+    """Write in order, with ordinals dense from 0: range-partitioned files, sorted within, so that readers keep
+    min/max pruning. Rows that get new ordinals are in that order already."""
     n = seq.known_capacity()
     if capacity is not None and n is not None and capacity < n:
         raise BufferTooSmall(f"{capacity} for {n}")
-    in_order(seq).write.mode(mode).parquet(path)
+    placed = seq.reindexed()
+    rows = placed.rows if placed is not seq else in_order(seq)
+    rows.write.mode(mode).parquet(path)

@@ -17,13 +17,13 @@ from quern.sequence import Sequence
 
 
 def _streaming(seq: Sequence) -> Sequence:
-    if not seq.df.isStreaming:
+    if not seq.rows.isStreaming:
         raise PrimitiveError("not a streaming DataFrame")
     return seq
 
 
 def compact_stream(seq: Sequence, predicate: Predicate, field: str = "value") -> DataFrame:
-    return ops.compact(ops.mask(_streaming(seq), predicate, field)).df
+    return ops.compact(ops.mask(_streaming(seq), predicate, field)).rows
 
 
 def reduce_stream(seq: Sequence, op: str = "sum") -> DataFrame:
@@ -35,5 +35,5 @@ def histogram_stream(seq: Sequence, bins: int) -> DataFrame:
     """Bins seen so far; a sink that needs zeros adds them."""
     if not 1 <= bins <= MAX_BINS:
         raise InvalidHistogramBinCount(f"{bins} bins")
-    df = _streaming(seq).df.filter(F.col("value") < bins)
+    df = _streaming(seq).rows.filter(F.col("value") < bins)
     return df.groupBy(F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("count"))

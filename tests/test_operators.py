@@ -1,15 +1,18 @@
 """Host oracles at boundary sizes, literal vectors, plan shapes and errors."""
 
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern import Pipeline, errors
 from quern import operators as ops
 from quern.functions.predicates import Between, Equal, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, NotEqual
 from quern.plans import profile
+from quern.plans.profile import profile_steps
 from quern.sources import from_columns, from_list, from_parquet, from_records, from_table, to_list, to_parquet
 from quern.streaming import compact_stream, histogram_stream, reduce_stream
 
@@ -81,7 +84,7 @@ def test_stable_sort(spark, n, strategy):
     q = ops.sort(from_columns(spark, [k for k, _ in kv], [x for _, x in kv]))
     want = sorted(kv, key=lambda r: r[0])
     assert to_list(q) == want
-    got = ops.dense(q, "rank", strategy, BUCKET).orderBy("rank").collect()
+    got = ops.dense(q, "rank", {"window": "window", "buckets": "range"}[strategy]).orderBy("rank").collect()
     assert [(r["rank"], r["key"], r["value"]) for r in got] == [(i, *r) for i, r in enumerate(want)]
 
 
@@ -136,7 +139,7 @@ def test_errors(spark):
 
 def test_plan_shapes(spark, monkeypatch):
     """Predicates reach the scan, a sort under a reduction is not run, sorted runs take no window over rows."""
-    q = from_parquet(spark, "/root/testdata/sf0.001/events.parquet", value="user_id", order_by="event_id")
+    q = from_parquet(spark, "/root/testdata/sf0.001/events.parquet", value="user_id", order_by="event_id", dense=True)
 
     def plan(df):
         return df._jdf.queryExecution().executedPlan().toString()
@@ -146,7 +149,7 @@ def test_plan_shapes(spark, monkeypatch):
     assert "Sort [" not in plan(Pipeline(q).sort().reduce())
     assert "SinglePartition" not in plan(ops.run_length_encode(ops.sort(q), "buckets").drop("run"))
     assert "SinglePartition" in plan(ops.scan(q).df)
-    monkeypatch.setattr("quern.operators.ranks.SINGLE_BYTES", 1000)
+    monkeypatch.setattr("quern.order.SINGLE_BYTES", 1000)
     assert "hashpartitioning(__b" in plan(ops.scan(q).df)
 
 
@@ -171,3 +174,109 @@ def test_streaming(spark, tmp_path):
 def test_window_and_buckets_agree(spark, v):
     q = from_list(spark, v)
     assert to_list(ops.scan(q, True, "window")) == to_list(ops.scan(q, True, "buckets", 8)) == scanned(v, True)
+
+
+CHAINS = {
+    "where": lambda p, v, k: (p.where(GreaterThan(k)), [x for x in v if x > k]),
+    "sort": lambda p, v, k: (p.sort(), sorted(v)),
+    "scan": lambda p, v, k: (p.scan(), scanned(v, True)),
+    "exclusive": lambda p, v, k: (p.scan(False), scanned(v, False)),
+    "slice": lambda p, v, k: (p.slice(min(k, len(v)) // 2, min(k, len(v))), v[min(k, len(v)) // 2 : min(k, len(v))]),
+    "counted": lambda p, v, k: (p.counted(p.seq.rows.sparkSession.createDataFrame([(k,)], "n long")), v[:k]),
+    "with": lambda p, v, k: (Pipeline(ops.compact_with(p.seq, [int(i % 3 == k % 3) for i in range(len(v))])), [x for i, x in enumerate(v) if i % 3 == k % 3]),
+}
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.data_too_large])
+@given(st.lists(st.integers(0, 9), max_size=12), st.lists(st.tuples(st.sampled_from(sorted(CHAINS)), st.integers(0, 9)), min_size=2, max_size=4), st.booleans())
+def test_chains(spark, v, steps, by_range):
+    """Random chains against lists, each also with new places given by range."""
+    p = Pipeline(from_list(spark, v))
+    for name, k in steps:
+        p, v = CHAINS[name](p, v, k)
+        if by_range:
+            p = Pipeline(p.seq.reindexed("range"))
+    assert to_list(p.seq) == v
+    assert p.count().first()[0] == len(v) and p.reduce().first()[0] == sum(v) % 2**32
+    got = ops.run_length_encode(p.seq).orderBy("run").collect()
+    assert [tuple(r) for r in got] == runs(v)
+
+
+def test_composition(spark):
+    v = [5, 1, 3, 9, 2]
+    p = Pipeline(from_list(spark, v))
+    assert to_list(p.sort().scan().seq) == [1, 3, 6, 11, 20]
+    assert to_list(p.sort().slice(0, 2).seq) == [1, 2]
+    two = spark.createDataFrame([(2,)], "n long")
+    assert to_list(p.sort().counted(two).seq) == [1, 2]
+    assert to_list(p.where(GreaterThan(2)).counted(two).seq) == [5, 3]
+    assert to_list(p.where(GreaterThan(2)).slice(1, 3).seq) == [3, 9]
+    assert to_list(ops.compact_with(p.sort().seq, [1, 0, 0, 0, 1])) == [1, 9]
+    assert to_list(ops.compact_with(p.seq, ops.sort(from_list(spark, [1, 0, 0, 1, 0])))) == [9, 2]
+    assert [r["value"] for r in p.sort().seq.df.collect()] == [1, 2, 3, 5, 9]
+    kv = from_records(spark, [(1, 8), (0, 8), (1, 7), (0, 7), (0, 8)])
+    assert to_list(ops.sort(ops.sort(kv, "value"), "key")) == [(0, 7), (0, 8), (0, 8), (1, 7), (1, 8)]
+    for f in (ops.run_length_encode, ops.scan):
+        with pytest.raises(errors.PrimitiveError):
+            f(kv)
+
+
+def test_bounds_of_unknown_lengths(spark):
+    q = from_table(spark.createDataFrame([(0, 7), (1, 8)], "p long, v long"), value="v", order_by="p", dense=True)
+    assert to_list(q.slice(0, 2)) == [7, 8] and q.slice(1, 2).count().first()[0] == 1
+    assert to_list(q.slice(2, 2)) == []
+    for bad in (q.slice(0, 100).df, q.slice(0, 100).count(), Pipeline(q).where(Equal(7)).slice(0, 2).seq.df):
+        with pytest.raises(Exception, match=r"0\.\.\d+ of"):
+            bad.collect()
+    assert q.counted(spark.createDataFrame([(9,)], "n long")).count().first()[0] == 2
+
+
+@pytest.mark.parametrize("rows", [[(0, 5), (None, 3), (1, 5)], [(4, None), (7, 1), (9, None), (11, None)], [(None, None)]])
+def test_nulls_are_alike_in_windows_and_ranges(spark, rows):
+    q = from_table(spark.createDataFrame(rows, "p long, v long"), value="v", order_by="p")
+    assert not q.dense
+    for s in (q, ops.sort(q)):
+        a, b = ([tuple(r) for r in ops.dense(s, "i", x).orderBy("i").collect()] for x in ("window", "range"))
+        assert a == b and len(a) == len(rows)
+    for f in (lambda x: ops.scan(q, strategy=x, bucket=2).df, lambda x: ops.run_length_encode(q, x, 2)):
+        a, b = (sorted(map(str, f(x).collect())) for x in ("window", "buckets"))
+        assert a == b
+    with pytest.raises(Exception, match="null"):
+        from_table(spark.createDataFrame(rows, "p long, v long"), value="v", order_by="p", validate=True).df.collect()
+
+
+def test_one_shuffle_of_rows_gives_all_ranks(spark):
+    """The range exchange is run once, whatever columns are asked for, and a hot key isn't a task of its own."""
+    kv = [(7 if i % 3 else i % 50, i) for i in range(3000)]
+    q = ops.sort(from_records(spark, kv))
+    for columns in (["rank", "key", "value"], ["rank"]):
+        got = ops.dense(q, "rank", "range").select(*columns)
+        rows = got.orderBy("rank").collect()
+        assert [r["rank"] for r in rows] == list(range(len(kv)))
+        if len(columns) > 1:
+            assert [tuple(r)[1:] for r in rows] == sorted(kv, key=lambda r: r[0])
+        written = ops.dense(q, "rank", "range").select(*columns)
+        written.collect()
+        plan = written._jdf.queryExecution().executedPlan().toString()
+        final = plan.partition("== Initial Plan ==")[0]
+        assert len(re.findall(r"[+:]- Exchange rangepartitioning", final)) == 1 and "ReusedExchange" in final
+    sizes = ops.dense(q, "rank", "range").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < len(kv) / 3
+
+
+def test_profile_of_a_chain(spark):
+    p = Pipeline(from_list(spark, [4, 17, 9, 22, 11, 3])).where(GreaterThanOrEqual(9)).sort()
+    got = p.profile("run_length", ops.run_length_encode)
+    assert [(s.label, s.rows) for s in got.spans] == [("predicate.mask", 6), ("compact.count", 1), ("compact.scatter", 4), ("sort.within", 4), ("run_length.mark", 4), ("run_length.finalize", 4)]
+    assert all(s.duration > 0 and s.tasks > 0 for s in got.spans) and got.stage_time <= got.elapsed
+    q = from_list(spark, list(range(100)))
+    for step, labels in [(("scan", lambda s: ops.scan(s, strategy="buckets", bucket=8)), ["scan.level.0", "scan.level.1", "scan.add.0"]), (("sort", ops.sort), ["sort.range", "sort.within"]), (("histogram", lambda s: ops.histogram(s, 4)), ["histogram.count"]), (("run_length", lambda s: ops.run_length_encode(s, "buckets", 8)), ["run_length.mark", "run_length.scan.level.0", "run_length.finalize"])]:
+        assert [s.label for s in profile_steps(q, [step], bucket=8, strategy="buckets").spans] == labels
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 31, 32, 255, 257, 511])
+@pytest.mark.parametrize("pattern", [lambda i: 7, lambda i: i, lambda i: i // 7, lambda i: 1 if 3 <= i % 9 <= 6 else 4])
+def test_run_patterns(spark, n, pattern):
+    v = [pattern(i) for i in range(n)]
+    got = ops.run_length_encode(from_list(spark, v), "buckets", BUCKET).orderBy("run").collect()
+    assert [tuple(r) for r in got] == runs(v)
