@@ -52,15 +52,15 @@ def running_sum(df: DataFrame, pos: str, amount: Column, out: str, bucket: int =
     return summed.join(offsets, "__b").withColumn(out, F.col("__s") + F.col("__o")).drop("__b", "__a", "__s", "__o")
 
 
-def dealt_by_range(df: DataFrame, by: list[str]) -> DataFrame:
-    """df in spark.sql.shuffle.partitions ranges of the columns by.
+def asked_whole(df: DataFrame) -> DataFrame:
+    """df under a condition that holds for every row. It can't be moved, folded or pruned and names every column, so
+    whatever reads this table asks the same of the exchanges under it, and Spark runs those once."""
+    return df.filter((F.monotonically_increasing_id() >= 0) | (F.xxhash64(*df.columns) == 0))
 
-    The condition holds for every row. It can't be moved, folded or pruned and names every column, so whatever is
-    read from this table asks the same of the exchange under it, and Spark runs that exchange once.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every_column = (F.monotonically_increasing_id() >= 0) | (F.xxhash64(*df.columns) == 0)
-    return df.repartitionByRange(n, *by).filter(every_column)
+
+def dealt_by_range(df: DataFrame, by: list[str]) -> DataFrame:
+    """df in spark.sql.shuffle.partitions ranges of the columns by, with one exchange for all its readers."""
+    return asked_whole(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by))
 
 
 def range_offsets(dealt: DataFrame) -> DataFrame:
