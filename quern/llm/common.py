@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,46 +18,68 @@ Q = "__quern_"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else what setCheckpointDir() was given.
-    A local one is made up only where neither is set, as in tests on one machine."""
+
+    One of this machine's is made up only where neither is set and all runs on this machine, as in tests. Elsewhere
+    that is an error: executors would each write to a disk of their own, and tables would be read back empty.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at and spark.sparkContext._jsc.getCheckpointDir().isPresent():
         at = spark.sparkContext._jsc.getCheckpointDir().get()
     if not at:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         at = tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
-def dealt_anew(df: DataFrame, by: str) -> DataFrame:
-    """A small aggregate, dealt by another column than those it will be joined on: the join then shuffles both of
-    its sides for itself, and Spark can split a hot key's rows, as it can't while an aggregate holds them."""
-    return df.repartition(by)
+def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
+    """A small aggregate of one row for each of keys, on which it will be joined, dealt by a hash of them: the join then
+    shuffles both of its sides for itself, and Spark can split a hot key's rows, as it can't while an aggregate holds
+    them."""
+    return df.repartition(F.xxhash64(*keys))
 
 
 #: Folders that cut() has written and nobody has removed.
 _written: set[str] = set()
 
 
-def cut(df: DataFrame, narrow_of: DataFrame | None = None) -> DataFrame:
+def _in_hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def cut(df: DataFrame, narrow_of: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """df written as Parquet in the shared folder and read again. Lost executors lose nothing that is in it.
 
+    The driver's JVM owns the table and removes it as it exits; drop() and discard() do so before.
     narrow_of: the table whose rows df has only a few bytes of each. A file a partition would be many tiny ones:
-    there are as many as twice the cores, or one for each GiB of the table if that is more.
+    there are as many as twice the cores, or one for each GiB of the table if that is more. by: a column of about
+    unique values to deal them by, where making the rows is the work, which then keeps all its tasks.
     """
-    path = f"{shared_dir(df.sparkSession)}/quern-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
     if narrow_of is not None:
-        size = int(str(narrow_of._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        df = df.coalesce(min(1 << 20, max(2 * df.sparkSession.sparkContext.defaultParallelism, size >> 30)))
+        n = min(1 << 20, max(2 * spark.sparkContext.defaultParallelism, estimated_bytes(narrow_of) >> 30))
+        df = df.repartition(n, by) if by else df.coalesce(n)
     df.write.parquet(path)
     _written.add(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    files, at = _in_hadoop(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
     return out
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    files, at = _in_hadoop(spark, path)
+    files.delete(at, True)
+    files.cancelDeleteOnExit(at)
     _written.discard(path)
 
 
@@ -65,21 +88,43 @@ def drop(df: DataFrame) -> None:
     _remove(df.sparkSession, df._quern_path)
 
 
+#: The setting that row_id() pins, and what it was before in each session that has it pinned.
+SPLITS = "spark.sql.files.minPartitionNum"
+_pinned: list[SparkSession] = []
+
+
 def discard(spark: SparkSession) -> None:
-    """Remove all that cut() wrote in this process: for when the results that read it have been stored."""
+    """Remove all that cut() wrote in this process, and give back the setting that row_id() pins: for when the results
+    that read those tables have been stored."""
     for path in list(_written):
         _remove(spark, path)
+    while _pinned:
+        _pinned.pop().conf.unset(SPLITS)
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df only reads, filters and projects stored rows: then its rows come in the same places each time."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().apply(0)
+    return bool(re.match("LogicalRelation|Relation|LocalRelation|LogicalRDD|Scan", node.nodeName()))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df if it is a scan, as row_id() needs it, else a table of its rows."""
+    return df if _is_scan(df) else cut(df)
 
 
 def row_id() -> Column:
-    """An id of the row by its place in the input files, the same each time they are read.
+    """An id of the row by its place in the input files, the same each time they are read. The input must be stored().
 
-    The input must be a scan of files, as cut() gives. How Spark splits files depends on the number of cores
-    that happen to be there, which lost executors change: so that number is pinned for the session.
+    How Spark splits files depends on the number of cores that happen to be there, which lost executors change: so
+    that number is pinned in the session until discard().
     """
-    spark, key = SparkSession.getActiveSession(), "spark.sql.files.minPartitionNum"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
+    spark = SparkSession.getActiveSession()
+    if spark.conf.get(SPLITS, None) is None:
+        spark.conf.set(SPLITS, str(max(1, spark.sparkContext.defaultParallelism)))
+        _pinned.append(spark)
     return F.monotonically_increasing_id()
 
 

@@ -31,16 +31,31 @@ def test_matches_sql(spark):
     same(queries.queries()["op2_exact_dedup"](spark, SF), queries.oracle_sql()["op2_exact_dedup"], SF)
 
 
-@pytest.mark.parametrize("block, hot", [(4096, 1000), (7, 3), (64, 5)])
-def test_odd_rows(spark, odd_docs, block, hot):
-    check(exact_dedup.exact_duplicates(odd_docs, block=block, hot=hot), odd_docs)
+@pytest.mark.parametrize("block, share, few", [(4096, 1000, 32), (7, 3, 2), (64, 5, 1)])
+def test_odd_rows(spark, odd_docs, block, share, few):
+    check(exact_dedup.exact_duplicates(odd_docs, block=block, share=share, few=few), odd_docs)
 
 
 def test_blocks_that_almost_agree(spark):
     texts = ["", "a", "aa", "aaaa" * 4, "aaaa" * 4 + "a", "aaaa" * 5, "AAAA" * 5, "aaaabbbb" * 2, "bbbbaaaa" * 2, "É" * 9, "é" * 9] * 2
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for hot in (2, 1000):
-        check(exact_dedup.exact_duplicates(docs, block=4, hot=hot), docs)
+    for few in (1, 3, 1000):
+        check(exact_dedup.exact_duplicates(docs, block=4, few=few), docs)
+
+
+def test_hot_texts_are_named_in_parts(spark):
+    """Half of all rows have one text, in parts; each part has few places, and all have one name in the end."""
+    docs = spark.createDataFrame([(i, "the same words here" if i % 2 else f"own {i // 4}") for i in range(400)], "doc_id long, text string")
+    check(exact_dedup.exact_duplicates(docs, few=9), docs)
+    check(exact_dedup.exact_duplicates(docs, block=5, few=9), docs)
+    hot = exact_dedup._hot(exact_dedup._places(docs, "text", "doc_id", 4096), 1000, 9)
+    assert [r["parts"] for r in hot] == [23]
+
+
+def test_input_that_is_no_scan(spark):
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat('t', id % 7) AS text").repartition(5)
+    check(exact_dedup.exact_duplicates(docs), docs)
+    assert exact_dedup.deduplicate(docs.orderBy("text")).count() == 7
 
 
 def test_empty_and_deduplicate(spark, odd_docs):
