@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import Q, per_batch, slices
@@ -23,12 +23,17 @@ from quern.llm.common import Q, per_batch, slices
 BITS = 20
 #: Bytes of a word's beginnings that are features of their own.
 STEMS = (4, 5)
-#: Bounds of the sample that the model is fitted on: labelled rows, and bytes of a text for it to be among them.
+#: Bounds of the sample that the model is fitted on: labelled rows, and bytes of their features together.
 FIT_ROWS = 8_000
-FIT_BYTES = 1 << 16
+FIT_BYTES = 1 << 28
+#: A text has at most 4 bytes of features for each of its own bytes, and for each of the 2^BITS features.
+MOST_BYTES = 4 << BITS
 EPOCHS = 3
 THRESHOLD = 0.3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 2.0, 0.3
+#: Score of every text where there is nothing to learn from: below the threshold, so that nothing is rejected.
+PRIOR = 0.05
+#: Of 16 pairs of ALPHA and L1, those of the least log loss on a fold of the training rows (crc32 mod 4 of 3).
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.3
 #: Characters of text that are worked on at once.
 BLOCK = 1 << 20
 
@@ -76,7 +81,10 @@ class Model:
 
 
 def fit(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> Model:
-    """FTRL-proximal, one row at a time in the order given. The last coordinate is the bias, without L1."""
+    """FTRL-proximal, one row at a time in the order given. The last coordinate is the bias, without L1. Rows of one
+    label only can't tell it from the other: the model then gives PRIOR for every text."""
+    if len({y > 0 for _, y in rows}) < 2:
+        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(PRIOR / (1 - PRIOR))))
     n = (1 << BITS) + 1
     z, g2 = np.zeros(n), np.zeros(n)
     l1 = np.full(n, L1)
@@ -104,23 +112,45 @@ def bucket(id: Column, of: int) -> Column:
     return F.crc32(id.cast("string").cast("binary")) % of
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", id: str = "doc_id", held_out: int = 2, folds: int = 4, rows: int = FIT_ROWS) -> Model:
-    """Fit on up to rows labelled documents, those of the least hashed ids, outside the held-out fold.
-
-    Of ids with several labels the largest counts; null ids and labels are left out. Without any row the
-    model gives 0.5 for everything.
+def chosen(docs: DataFrame, labels: DataFrame, label: str, text: str, id: str, held_out: int, folds: int, rows: int, most: int) -> DataFrame:
+    """(id, y) of the labelled documents to fit on: at most rows, those of the least hashed ids, as long as their
+    features stay within most bytes together."""
+    q = f"{Q}id"
+    known = labels.select(F.col(id).cast("long").alias(q), F.col(label).cast("int").alias("y")).dropna()
+    known = known.filter(bucket(F.col(q), folds) != held_out).groupBy(q).agg(F.max("y").alias("y"))
+    size = F.least(F.lit(4) * F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), F.lit(MOST_BYTES))
+    # Aggregated before it is joined: however often an id repeats, a task sends one row of it.
+    texts = docs.select(F.col(id).cast("long").alias(q), size.alias("size")).groupBy(q).agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    first = known.join(texts.filter("n = 1"), q).withColumn("h", F.xxhash64(q)).orderBy("h", q).limit(rows)
+    so_far = F.sum("size").over(Window.orderBy("h", q).rowsBetween(Window.unboundedPreceding, 0))  # over at most rows
+    return first.withColumn("so_far", so_far).filter(F.col("so_far") <= most).select(q, "y")
+
+
+def learn(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "toxic",
+    text: str = "text",
+    id: str = "doc_id",
+    held_out: int = 2,
+    folds: int = 4,
+    rows: int = FIT_ROWS,
+    most: int = FIT_BYTES,
+) -> Model:
+    """Fit on up to rows labelled documents, those of the least hashed ids, outside the held-out fold; most bounds the
+    bytes of their features, which the driver holds.
+
+    Of ids with several labels the largest counts, and any above 0 is label 1; null ids and labels are left out, and so
+    are ids of several documents, as a label doesn't tell which of them it is for. Null texts are learnt from as empty.
     """
-    known = labels.select(F.col(id).cast("long").alias(f"{Q}id"), F.col(label).cast("int").alias(f"{Q}y")).dropna()
-    known = known.filter(bucket(F.col(f"{Q}id"), folds) != held_out).groupBy(f"{Q}id").agg(F.max(f"{Q}y").alias(f"{Q}y"))
-    chosen = known.orderBy(F.xxhash64(f"{Q}id"), f"{Q}id").limit(rows)
-    texts = docs.select(F.col(id).cast("long").alias(f"{Q}id"), F.col(text).alias(f"{Q}text")).filter(F.octet_length(f"{Q}text") <= FIT_BYTES)
-    sample = texts.join(F.broadcast(chosen), f"{Q}id")  # at most ``rows`` narrow rows
+    few = F.broadcast(chosen(docs, labels, label, text, id, held_out, folds, rows, most))  # at most ``rows`` narrow rows
+    sample = docs.select(F.col(id).cast("long").alias(f"{Q}id"), F.col(text).alias(f"{Q}text")).join(few, f"{Q}id")
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         x = [features(t).tobytes() for t in b.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), b.column(2)], ["id", "x", "y"])
 
-    got = {r["id"]: (np.frombuffer(r["x"], np.int32), r["y"]) for r in per_batch(sample, f, "id long, x binary, y int").collect()}
+    got = {r["id"]: (np.frombuffer(r["x"], np.int32), int(r["y"] > 0)) for r in per_batch(sample, f, "id long, x binary, y int").collect()}
     return fit([got[k] for k in sorted(got, key=lambda k: zlib.crc32(str(k).encode()))])
 
 
