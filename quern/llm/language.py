@@ -7,11 +7,12 @@ backpropagation through time on a bounded sample. It has a few thousand weights,
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import Q, per_batch
@@ -20,8 +21,8 @@ from quern.llm.toxicity import bucket
 WINDOW, STATES = 64, 8
 #: Windows that go through the network at once.
 WIDTH = 4096
-#: Bounds of the sample: documents a language and in all, and windows of each, spread over its text.
-FIT_EACH, FIT_ALL, FIT_WINDOWS, BUCKETS = 500, 8_000, 4, 64
+#: Bounds of the sample: documents a language and in all, and windows of each, at hashed places of its whole text.
+FIT_EACH, FIT_ALL, FIT_WINDOWS = 500, 8_000, 4
 STEPS, BATCH, RATE, SEED = 240, 256, 0.02, 11
 
 
@@ -150,21 +151,63 @@ def fit(windows: list[tuple[bytes, str]], steps: int = STEPS, seed: int = SEED)
     return net
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", held_out: int = 0, folds: int = 5) -> Network:
-    """Fit on a sample outside the held-out fold: documents of the least hashed ids in each language. Null ids,
-    languages and texts are left out."""
+def shares(d: DataFrame, each: int, total: int) -> dict[str, tuple[int, float]]:
+    """By language: documents to take, and the share of its rows to draw so that they are hardly ever too few. At most
+    ``total`` languages, the most frequent ones."""
+    counted = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(total).collect()
+    each = min(each, max(1, total // max(1, len(counted))))
+    return {r["lang"]: (each, (each + 5 * each**0.5 + 8) / r["n"]) for r in counted}
+
+
+def drawn(d: DataFrame, of: dict[str, float], windows: int) -> DataFrame:
+    """(lang, u, ws): the rows of d whose hash u is below their language's share, and windows of their texts. Rows of
+    equal id and text are one."""
+    few = F.broadcast(d.sparkSession.createDataFrame(list(of.items()), "lang string, share double"))  # as many as languages
+    # 53 bits of a hash, as a double in [0, 1).
+    d = d.join(few, "lang").withColumn("u", F.shiftrightunsigned(F.xxhash64("id", "b"), 11).cast("double") / float(1 << 53))
+    places = F.octet_length("b") - WINDOW + 1
+    at = [F.when(places <= 1, 1).otherwise(F.pmod(F.xxhash64("id", "b", F.lit(i)), places).cast("int") + 1) for i in range(windows)]
+    ws = F.array_distinct(F.array(*[F.substring("b", x, F.lit(WINDOW)) for x in at]))
+    return d.filter(F.col("u") < F.col("share")).select("lang", "u", ws.alias("ws")).distinct()
+
+
+def sample(d: DataFrame, each: int = FIT_EACH, total: int = FIT_ALL, windows: int = FIT_WINDOWS) -> list[tuple[bytes, str]]:
+    """(window, lang) of the documents of least hash in each language: ``each`` of them, or as many as there are.
+
+    A language is drawn again, in a share eight times as large, while it has too few: so repeated rows don't cost it any.
+    """
+    want, out = shares(d, each, total), []
+    left = {k: s for k, (_, s) in want.items()}
+    while left:
+        found = defaultdict(list)
+        for r in drawn(d, left, windows).collect():
+            found[r["lang"]].append((r["u"], sorted(map(bytes, r["ws"]))))
+        for k in [k for k, s in left.items() if s >= 1 or len(found[k]) >= want[k][0]]:
+            out += [(w, k) for _, ws in sorted(found[k])[: want[k][0]] for w in ws]
+            del left[k]
+        left = {k: s * 8 for k, s in left.items()}
+    return sorted(set(out))
+
+
+def learn(
+    docs: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    id: str = "doc_id",
+    held_out: int = 0,
+    folds: int = 5,
+    each: int = FIT_EACH,
+    total: int = FIT_ALL,
+    windows: int = FIT_WINDOWS,
+) -> Network:
+    """Fit on a sample outside the held-out fold: at most each documents of a language and total in all, windows of each.
+
+    Null ids, languages and texts are left out, and so are empty texts. Rows of equal id and text count once, rows that
+    share an id only are documents each.
+    """
     d = docs.select(F.col(id).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("binary").alias("b"))
     d = d.dropna().filter((bucket(F.col("id"), folds) != held_out) & (F.octet_length("b") > 0))
-    # First in buckets of ids, so that no task sees more than BUCKETS * FIT_EACH rows of a common language.
-    chosen = d.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("s", F.pmod("h", F.lit(BUCKETS)))
-    for keys in (("lang", "s"), ("lang",)):
-        chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "id"))).filter(F.col("k") <= FIT_EACH)
-    chosen = chosen.orderBy("k", "lang").limit(FIT_ALL).select("id", "lang")
-    at = F.explode(F.sequence(F.lit(0), F.lit(FIT_WINDOWS - 1))).alias("i")
-    windows = d.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "b", at)
-    window = F.expr(f"substring(b, cast(floor((octet_length(b) - {WINDOW}) * i / {FIT_WINDOWS}) AS int) + 1, {WINDOW})")
-    window = F.when(F.octet_length("b") <= WINDOW, F.col("b")).otherwise(window)
-    return fit([(bytes(r[0]), r[1]) for r in windows.select(window, "lang").distinct().collect()])
+    return fit(sample(d, each, total, windows))
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id") -> DataFrame:
