@@ -8,6 +8,8 @@ sorted by a hash, which is a shuffle of them all.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ from quern.llm.common import Q, cut
 
 #: Without weights, a source's weight is its number of rows to this power: small sources gain.
 POWER = 0.5
-#: Tables of up to so many sources are broadcast; each is some hundred bytes. Larger ones are joined by shuffle.
-BROADCAST_SOURCES = 5_000
+#: Tables of up to so many sources and so many probabilities in all (of 8 bytes) are broadcast. Larger ones are joined
+#: by shuffle, whose hot sources Spark can split.
+BROADCAST_SOURCES, BROADCAST_PROBABILITIES = 20_000, 1 << 20
 SEED = "mix"
 
 
@@ -39,14 +42,23 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total
     return n.select("source", "n", (F.col("w") / F.lit(of_weights or 1.0) * F.lit(goal) / F.col("n")).alias("rate"))
 
 
+def log_factorial(k: Column) -> Column:
+    """ln k! for whole k, by Stirling's series beyond 20."""
+    x = F.greatest(k, F.lit(21)).cast("double")
+    series = x * F.log(x) - x + F.log(x * (2 * math.pi)) / 2 + 1 / (x * 12) - 1 / (F.pow(x, 3) * 360) + 1 / (F.pow(x, 5) * 1260)
+    return F.when(k <= 20, F.log(F.factorial(F.least(k, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
 def distributions(rates: DataFrame) -> DataFrame:
-    """(source, cdf): P(X <= k) for k = 0.. as far as a double tells it from 1; no row where the rate is 0."""
-    most = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
-    k = rates.filter("rate > 0").select("source", "rate", F.explode(F.sequence(F.lit(0), most)).alias("k"))
-    w = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    k = k.withColumn("lf", F.sum(F.log(F.greatest("k", F.lit(1)).cast("double"))).over(w))
-    k = k.withColumn("p", F.exp(F.col("k") * F.log("rate") - F.col("rate") - F.col("lf"))).withColumn("c", F.sum("p").over(w))
-    return k.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
+    """(source, least, cdf): P(X <= k) for k = least, least + 1.. as far as a double tells it from 1; what lies below
+    least has no more than e^-70. About 24 square roots of the rate; no row where the rate is 0."""
+    around = F.sqrt("rate") * 12
+    ends = rates.filter("rate > 0").withColumns({"least": F.greatest(F.lit(0), F.floor(F.col("rate") - around - 20)).cast("long"), "most": F.ceil(F.col("rate") + around + 40).cast("long")})
+    k = ends.select("source", "rate", "least", F.explode(F.sequence("least", "most")).alias("k"))
+    k = k.withColumn("p", F.exp(F.col("k") * F.log("rate") - F.col("rate") - log_factorial(F.col("k"))))
+    k = k.withColumn("c", F.sum("p").over(Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
+    cdf = F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"])
+    return k.groupBy("source").agg(F.min("least").alias("least"), cdf.alias("cdf"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, text: str = "text", source: str = "source", id: str = "doc_id", seed: str = SEED, copy: str | None = None, key: str | None = None) -> DataFrame:
@@ -56,12 +68,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total:
     of the copy from 0 and the hash that orders it. Null sources are a source. A row's hash is that of its id,
     or of its text where the id is null; repeated rows get the same number of copies each.
     """
-    table = cut(distributions(rates(docs, weights, total, source)).select(F.col("source").alias(f"{Q}source"), F.col("cdf").alias(f"{Q}cdf")))
-    table = F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
+    named = [F.col(c).alias(f"{Q}{c}") for c in ("source", "least", "cdf")]
+    table = cut(distributions(rates(docs, weights, total, source)).select(*named))
+    sources, probabilities = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(f"{Q}cdf")), F.lit(0))).first()
+    table = F.broadcast(table) if sources <= BROADCAST_SOURCES and probabilities <= BROADCAST_PROBABILITIES else table
     row = F.coalesce(F.col(id).cast("string"), F.col(text), F.lit(""))
-    joined = docs.join(table, F.col(source).eqNullSafe(F.col(f"{Q}source")))
-    joined = joined.withColumn(f"{Q}n", F.size(F.filter(f"{Q}cdf", lambda c: c <= uniform(F.lit(seed), row))))
-    copies = joined.filter(F.col(f"{Q}n") > 0).withColumn(f"{Q}copy", F.explode(F.sequence(F.lit(0), F.col(f"{Q}n") - 1)))
+    joined = docs.join(table, F.col(source).eqNullSafe(F.col(f"{Q}source"))).withColumn(f"{Q}u", uniform(F.lit(seed), row))
+    joined = joined.withColumn(f"{Q}n", F.col(f"{Q}least") + F.size(F.filter(f"{Q}cdf", lambda c: c <= F.col(f"{Q}u")))).drop(f"{Q}cdf")
+    copies = joined.filter(F.col(f"{Q}n") > 0).withColumn(f"{Q}copy", F.explode(F.sequence(F.lit(0), (F.col(f"{Q}n") - 1).cast("int"))))
     copies = copies.withColumn(f"{Q}key", uniform(F.lit(seed), row, F.col(f"{Q}copy").cast("string")))
     shuffled = copies.repartition(f"{Q}key").sortWithinPartitions(f"{Q}key")
     extra = [F.col(f"{Q}{k}").alias(name) for k, name in (("copy", copy), ("key", key)) if name]

@@ -1,3 +1,5 @@
+import hashlib
+import math
 from collections import Counter
 
 import pytest
@@ -37,10 +39,32 @@ def test_odd_rows(spark, odd_docs):
     assert mixing.mix(odd_docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("limit", [0, 5_000])
+@pytest.mark.parametrize("limit", [0, 20_000])
 def test_either_join_gives_the_same_rows_in_shuffled_order(spark, limit, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = sorted((r["doc_id"], r["copy"]) for r in queries.queries()["op5_mixing"](spark, SF).collect())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", limit)
     got = [(r["doc_id"], r["copy"]) for r in mixing.mix(docs, copy="copy").collect()]
     assert sorted(got) == want and got != want
+
+
+def test_large_rates(spark):
+    """A source of one row at a rate of 100,000: a short table, the exact quantile."""
+    rate = 1e5
+    r = mixing.distributions(spark.createDataFrame([("a", rate)], "source string, rate double")).first()
+    assert len(r["cdf"]) < 8_000 and abs(r["cdf"][-1] - 1) < 1e-8
+    want, c = {}, 0.0
+    for k in range(int(rate) - 4_000, int(rate) + 4_000):
+        c += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        want[k] = c
+    assert all(abs(x - want[r["least"] + i]) < 1e-8 for i, x in enumerate(r["cdf"]) if r["least"] + i in want)
+    docs = spark.createDataFrame([(1, "t", "a"), *((i, "t", "b") for i in range(2, 40))], "doc_id long, text string, source string")
+    n = Counter(x["doc_id"] for x in mixing.mix(docs, {"a": 1.0, "b": 1.0}, 200_000).select("doc_id").collect())
+    u = int(hashlib.md5(b"mix|1").hexdigest()[:13], 16) / 2**52
+    assert n[1] == min(k for k in want if want[k] > u) and abs(sum(n.values()) - 200_000) < 2_000
+
+
+def test_log_factorial(spark):
+    got = spark.range(0, 2_000_000, 777).select("id", mixing.log_factorial(F.col("id")).alias("f")).collect()
+    got += spark.range(40).select("id", mixing.log_factorial(F.col("id")).alias("f")).collect()
+    assert all(abs(r["f"] - math.lgamma(r["id"] + 1)) <= 1e-12 * max(1, r["f"]) for r in got)
