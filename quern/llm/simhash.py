@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Q, components, cut, dealt_anew, per_batch, row_id
+from quern.llm.common import Q, components, cut, dealt_anew, per_batch, row_id, stored
 
 SEED = 42
 WORDS = 3
@@ -90,10 +90,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+#: Points of the smaller side that a task holds: 32 MB or so.
+POINTS = 1 << 20
+
+
 def links(fps: DataFrame, fp: str = f"{Q}fp") -> DataFrame:
-    """(a, b): verified links that join what lies within 3 bits of each other. fps: distinct fingerprints."""
-    # The fingerprints are few bytes and their points many: each of these partitions emits its own.
-    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fp)
+    """(a, b): verified links that join what lies within 3 bits of each other. fps: distinct fingerprints, cut."""
+    # The fingerprints are few bytes and their points many: each of these partitions emits its own, and so many
+    # partitions meet at points that the table of one side's points, of one row each, fits a task. Points are spread
+    # by their own bits, so that no task gets many more.
+    n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() * 65 // POINTS))
+    fps = fps.repartition(n, fp)
     one = F.explode(F.array(*[F.lit(m).cast("long") for m in [0, *(_signed(1 << i) for i in range(64))]]))
     # A pair of bits i and j is the number 64 i + j. Rows hold it instead of the point, which it gives with the
     # fingerprint: rows then differ in two bytes from the one before, and compress to 7.5 bytes each.
@@ -104,10 +111,10 @@ def links(fps: DataFrame, fp: str = f"{Q}fp") -> DataFrame:
 
     even = F.bit_count(fp) % 2 == 0
     chain = emit(fps).selectExpr("x AS a", "k", "lag(x) OVER (PARTITION BY k ORDER BY x) AS b").filter("b IS NOT NULL")
-    centres = emit(fps.filter(even)).groupBy("k").agg(F.min("x").alias("b"))
+    centres = emit(fps.filter(even)).repartition(n, "k").groupBy("k").agg(F.min("x").alias("b"))
     far = fps.filter(~even).select(F.col(fp).alias("a"), two.alias("ij"))
     point = F.expr("a ^ (shiftleft(1L, cast(ij AS int) >> 6) | shiftleft(1L, cast(ij AS int) & 63))")
-    far = far.join(centres.hint("shuffle_hash"), point == F.col("k"))
+    far = far.repartition(n, point).join(centres.hint("shuffle_hash"), point == F.col("k"))
     found = chain.select("a", "b").union(far.select("a", "b"))
     return found.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
@@ -129,8 +136,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     Null ids keep their row and never name a component, unless all of its ids are null: then it is null.
     Repeated rows each keep theirs. An empty table gives an empty result.
     """
-    g = grouped(cut(with_fingerprints(docs, text, id), docs))
-    names = dealt_anew(g.groupBy(f"{Q}root").agg(F.min(f"{Q}id").alias(f"{Q}component")), f"{Q}component")
+    docs = stored(docs)
+    g = grouped(cut(with_fingerprints(docs, text, id), docs, f"{Q}row"))
+    names = dealt_anew(g.groupBy(f"{Q}root").agg(F.min(f"{Q}id").alias(f"{Q}component")), f"{Q}root")
     digits = F.lower(F.lpad(F.hex(f"{Q}fp"), 16, "0"))
     return g.join(names, f"{Q}root").select(F.col(f"{Q}id").alias("doc_id"), digits.alias("fingerprint"), F.col(f"{Q}component").alias("component_id"))
 
@@ -144,4 +152,5 @@ def first_of_each(docs: DataFrame, g: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """docs with one row of each component: that of the least id (null ids last), of equal ids the first row."""
-    return first_of_each(docs, grouped(cut(with_fingerprints(docs, text, id), docs)))
+    docs = stored(docs)
+    return first_of_each(docs, grouped(cut(with_fingerprints(docs, text, id), docs, f"{Q}row")))
