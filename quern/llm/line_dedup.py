@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quern.llm.common import Q, components, cut, dealt_anew, per_batch, row_id, slices
+from quern.llm.common import Q, components, cut, dealt_anew, per_batch, row_id, slices, stored
 
 LEADING, FIELDS, AGREE = 3, 8, 0.75
 #: Lines of fewer tokens and bytes are short: chance repeats them, so they recur only from OFTEN documents on.
@@ -59,7 +59,8 @@ def parse(line: bytes) -> tuple[int, int, list[int], bool, bool, bool] | None:
     fields = [xxhash.xxh32_intdigest(b" ".join(rest[a:b])) - (1 << 31) for a, b in zip(cuts, cuts[1:])]
     leaf = xxhash.xxh64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:LEADING]))
     text = tokens.count(MARK) <= VARIED * len(tokens)
-    return leaf - (1 << 63), xxhash.xxh64_intdigest(b" ".join(tokens)) - (1 << 63), fields, text, text and len(tokens) > LONG, few and len(line) < BYTES
+    joined = b" ".join(tokens)  # what is said of the line follows from this alone, so that equal ones agree in it
+    return leaf - (1 << 63), xxhash.xxh64_intdigest(joined) - (1 << 63), fields, text, text and len(tokens) > LONG, few and len(joined) < BYTES
 
 
 _LINES = f"{Q}row long, {Q}id long, line int, first boolean, leaf long, exact long, fields array<int>, text boolean, long boolean, short boolean"
@@ -101,36 +102,36 @@ def _subsets(n: int) -> list[int]:
 def agreeing(exact: DataFrame) -> DataFrame:
     """(node, root): exact lines that agree with others of their leaf, and the least that they reach."""
     shared = exact.groupBy("leaf").agg(F.min("exact").alias("a"), F.max("exact").alias("z")).filter("a <> z").select("leaf", "a")
-    some = exact.select("leaf", "exact", "fields").join(dealt_anew(shared, "a"), "leaf").filter(F.size("fields") > 0)
+    some = exact.select("leaf", "exact", "fields").join(dealt_anew(shared, "leaf"), "leaf").filter(F.size("fields") > 0)
     cases = " ".join(f"WHEN {n} THEN array({', '.join(map(str, _subsets(n)))})" for n in range(1, FIELDS + 1) if _subsets(n))
     keys = some.withColumn("set", F.expr(f"explode(CASE size(fields) {cases} END)"))
     held = "transform(fields, (x, i) -> if((set & shiftleft(1, i)) != 0, x, null))"
     keys = keys.select("exact", F.expr(f"xxhash64(leaf, set, {held})").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("exact").alias("hub"), F.max("exact").alias("z")).filter("hub <> z").select("key", "hub")
-    return components(keys.join(dealt_anew(hubs, "hub"), "key").select("exact", "hub"), "exact", "hub", exact)
+    return components(keys.join(dealt_anew(hubs, "key"), "key").select("exact", "hub"), "exact", "hub", exact)
 
 
 def recurring(parsed: DataFrame, docs_at_least: int = DOCS) -> DataFrame:
     """(row, line) of the lines to drop. parsed: lines(), cut."""
     exact = parsed.groupBy("leaf", "exact").agg(F.sum(F.col("first").cast("long")).alias("n"), *(F.first(c).alias(c) for c in ("fields", "text", "long", "short")))
     exact = cut(exact, parsed)
-    roots = dealt_anew(agreeing(exact).withColumnRenamed("node", "exact"), "root")
+    roots = dealt_anew(agreeing(exact).withColumnRenamed("node", "exact"), "exact")
     templates = exact.join(roots, "exact", "left").select("leaf", "exact", "n", "text", "long", "short", F.coalesce("root", "exact").alias("template"))
     # Documents that a template and that an exact line needs. Templates that no count can bring there end here.
     same = min(SAME, docs_at_least)
     sizes = templates.groupBy("leaf", "template").agg(F.sum("n").alias("most"), F.count(F.lit(1)).alias("lines"), F.every("text").alias("t"), F.every("long").alias("l"), F.every("short").alias("s"))
     sizes = sizes.withColumn("need", F.when(F.col("s"), max(OFTEN, docs_at_least)).when(F.col("l") | (F.col("t") & (F.col("lines") == 1)), same).otherwise(docs_at_least)).filter(F.col("most") >= F.when(F.col("s"), F.col("need")).otherwise(same))
     alone = (F.col("lines") > 1) & F.col("text") & (F.col("n") >= same)
-    templates = templates.join(dealt_anew(sizes.select("leaf", "template", "lines", "need"), "template"), ["leaf", "template"]).select("leaf", "exact", "template", "need", alone.alias("alone"))
+    templates = templates.join(dealt_anew(sizes.select("leaf", "template", "lines", "need"), "leaf", "template"), ["leaf", "template"]).select("leaf", "exact", "template", "need", alone.alias("alone"))
     at = [f"{Q}row", f"{Q}id", "line"]
     placed = cut(parsed.join(templates, ["leaf", "exact"]).select("leaf", "exact", "template", "need", "alone", "first", *at), parsed)
     place = F.struct(F.col(f"{Q}id").isNull().alias("none"), F.col(f"{Q}id").alias("id"), F.col(f"{Q}row").alias("row"), F.col("line").alias("line"))
     firsts = placed.filter("first")
     per_doc = firsts.groupBy("leaf", "template", f"{Q}row").agg(F.min(f"{Q}id").alias(f"{Q}id"), F.min("line").alias("line"), F.first("need").alias("need"))
     often = per_doc.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.first("need").alias("need"), F.min(place).alias("stays")).filter("docs >= need")
-    often = dealt_anew(often.select("leaf", "template", F.col("stays.row").alias("r"), F.col("stays.line").alias("l")), "r")
+    often = dealt_anew(often.select("leaf", "template", F.col("stays.row").alias("r"), F.col("stays.line").alias("l")), "leaf", "template")
     alike = firsts.filter("alone").groupBy("leaf", "exact").agg(F.min(place).alias("stays"))
-    alike = dealt_anew(alike.select("leaf", "exact", F.col("stays.row").alias("er"), F.col("stays.line").alias("el")), "er")
+    alike = dealt_anew(alike.select("leaf", "exact", F.col("stays.row").alias("er"), F.col("stays.line").alias("el")), "leaf", "exact")
     met = placed.join(often, ["leaf", "template"], "left").join(alike, ["leaf", "exact"], "left")
     stays = F.when(F.col("r").isNotNull(), F.struct("r", "l")).otherwise(F.struct(F.col("er").alias("r"), F.col("el").alias("l")))
     met = met.withColumn("stays", stays).filter("stays.r IS NOT NULL")
@@ -144,6 +145,7 @@ def without_recurring(docs: DataFrame, text: str = "text", id: str = "doc_id", d
     Null ids come last when the first place of a template is looked for. counts: names of two columns to
     add, the number of lines and of lines dropped. An empty table gives an empty result.
     """
+    docs = stored(docs)
     drops = recurring(cut(lines(docs, text, id), docs), docs_at_least).groupBy(f"{Q}row").agg(F.collect_list("line").alias(f"{Q}drops"))
     rows = docs.drop(*(counts or ())).withColumn(f"{Q}row", row_id()).join(drops, f"{Q}row", "left").drop(f"{Q}row")
     at, kept = rows.columns.index(text), [x for x in rows.columns if x != f"{Q}drops"]

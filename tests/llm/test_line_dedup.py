@@ -6,35 +6,54 @@ from quern.llm import line_dedup, queries
 SF = "/root/testdata/sf0.001"
 
 
+def read(line):
+    """Tokens of a line; those with digits are one mark, but in lines of fewer than four."""
+    tokens = [x for x in re.split(r"[\x20\x09-\x0d]+", line) if x]
+    return tuple("<*>" if len(tokens) > 3 and re.search("[0-9]", x) else x for x in tokens)
+
+
+def agree(a, b):
+    """Whether two lines of one leaf agree in three quarters of their runs of tokens."""
+    n = min(8, len(a) - 3)
+    runs = lambda t: [t[3:][len(t[3:]) * k // n : len(t[3:]) * (k + 1) // n] for k in range(n)]
+    return n > 0 and sum(x == y for x, y in zip(runs(a), runs(b))) >= 0.75 * n
+
+
 def plain(rows, docs_at_least=5):
-    """[(doc_id, text)] with recurring lines dropped, by comparing tokens; also lines and drops."""
+    """[(doc_id, text)] with recurring lines dropped, by comparing all pairs of a leaf; also lines and drops."""
     where = defaultdict(list)
     for r, (d, t) in enumerate(rows):
         for i, line in enumerate((t or "").split("\n")):
-            tokens = tuple("<*>" if re.search("[0-9]", x) else x for x in re.split(r"[\x20\x09-\x0d]+", line) if x)
-            if len(tokens) >= 4:
-                where[tokens].append((d is None, d or 0, r, i))
-    leaves = defaultdict(list)
-    for tokens, places in where.items():
-        leaves[len(tokens), tokens[:3]].append((len({p[2] for p in places}), tokens))
-    drop = set()
+            if read(line):
+                where[read(line)].append((d is None, d or 0, r, i))
+    leaves, drop = defaultdict(list), set()
+    for tokens in where:
+        leaves[len(tokens), tokens[:3]].append(tokens)
+    docs = lambda places: len({p[2] for p in places})
+    is_text = lambda t: t.count("<*>") <= len(t) / 4
     for members in leaves.values():
-        most = max(n for n, _ in members)
-        tied = [t for n, t in members if n == most]
-        hashed = {t: line_dedup.parse(" ".join(t).encode())[1] for t in tied}
-        seed = max(tied, key=hashed.get)
-
-        def runs(t):
-            rest, n = t[3:], min(8, len(t) - 3)
-            return [rest[len(rest) * k // n : len(rest) * (k + 1) // n] for k in range(n)]
-
-        groups = defaultdict(list)
-        for _, t in members:
-            same = sum(a == b for a, b in zip(runs(t), runs(seed)))
-            groups[seed if same >= 0.75 * len(runs(seed)) else t] += where[t]
-        for places in groups.values():
-            if len({p[2] for p in places}) >= docs_at_least:
+        left = set(members)
+        while left:
+            template, edge = [], [left.pop()]
+            while edge:
+                template.append(edge.pop())
+                near = {t for t in left if agree(t, template[-1])}
+                left -= near
+                edge += near
+            places = [p for t in template for p in where[t]]
+            one = len(template) == 1
+            if one and len(template[0]) < 4 and len(" ".join(template[0]).encode()) < 60:
+                need = max(30, docs_at_least)
+            elif all(map(is_text, template)) and (one or len(template[0]) > 50):
+                need = min(2, docs_at_least)
+            else:
+                need = docs_at_least
+            if docs(places) >= need:
                 drop |= {p[2:] for p in places} - {min(places)[2:]}
+            elif not one:  # equal texts among the lines of a template that doesn't recur
+                for t in template:
+                    if is_text(t) and docs(where[t]) >= 2:
+                        drop |= {p[2:] for p in where[t]} - {min(where[t])[2:]}
     out = []
     for r, (d, t) in enumerate(rows):
         every = [] if t is None else t.split("\n")
