@@ -38,14 +38,14 @@ def test_recall_on_the_whole_table(spark):
     assert all(r["score"] == pytest.approx(np.linalg.norm(at[r["query_id"]] - at[r["vec_id"]]), rel=1e-12) for r in got)
 
 
-@pytest.mark.parametrize("shard, block", [(8192, 2048), (40, 3)])
-def test_exact_when_all_are_candidates(spark, shard, block):
+@pytest.mark.parametrize("page, shard, pairs", [(32768, 8192, 1 << 22), (20, 40, 100)])
+def test_exact_when_all_are_candidates(spark, page, shard, pairs):
     r = random.Random(4)
     rows = [(i, [r.choice([-1.0, 0.5, 2.0]) for _ in range(4)]) for i in range(300)]  # ties and equal vectors
     rows += [(500 + i, [1.0, 1.0, 1.0, 1.0]) for i in range(200)] + [(800, [1.0, 1.0, 1.0, 1.0])]  # a hot vector
     rows += [(900, [1.0, 2.0]), (901, [1.5, 2.0]), (1000, None), (1100, []), (1200, [0.0] * 4), (1300, [1.0, None, 1.0, 1.0]), (1400, [float("nan")] * 4), (1500, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (1600, [3.0, 3.0, 3.0])]
     df = spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], SCHEMA)
-    close(neighbours.nearest(df, gather=float("inf"), shard=shard, block=block).collect(), plain(rows))
+    close(neighbours.nearest(df, recall=2, page=page, shard=shard, pairs=pairs).collect(), plain(rows))
 
 
 def test_repeated_rows_and_empty_tables(spark):
@@ -57,18 +57,50 @@ def test_repeated_rows_and_empty_tables(spark):
     assert neighbours.nearest(df.filter("vec_id = 100").limit(1)).count() == 0
 
 
-def test_ascent_is_one_level_for_all_trees():
-    x = np.random.default_rng(1).normal(size=(500, 16))
-    f = neighbours.Forest(x, trees=6)
-    lo, hi = f.ranges(x[:20], 25)
-    codes = f._codes(x[:20])
-    for q in range(20):
-        total = (hi - lo)[:, q].sum()
-        assert total >= 0.05 * 6 * 500
-        for length in range(33):
-            ranges = [((f.sorted[t] >> np.uint64(32 - length)) == (int(codes[t, q]) >> (32 - length))).sum() for t in range(6)]
-            if sum(ranges) == total:
-                assert (hi - lo)[:, q].tolist() == ranges
-                break
-        else:
-            raise AssertionError("no common level")
+def clustered(n, dim=24, seed=3):
+    """Vectors around 40 centres, one of which has a third of all."""
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(40, dim))
+    of = np.where(r.random(n) < 1 / 3, 0, r.integers(0, 40, n))
+    return centres[of] + r.normal(scale=0.25, size=(n, dim))
+
+
+@pytest.mark.parametrize("page, pairs, enough", [(100, 300, 900), (64, 1 << 22, 20_000), (5_000, 1 << 22, 900)])
+def test_ascent_is_one_level_for_all_trees(spark, page, pairs, enough):
+    """Candidates against a plain ascent over all codes, with crowded pages in parts and queries that go on."""
+    x = clustered(1500)
+    hashing = neighbours.Hashing({24: x.mean(axis=0)})
+    q = np.concatenate([x[:20], 9 * x[20:23]])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "rep long, v array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query long, v array<double>")
+    arrays, roots = neighbours.cut(neighbours.entries(rows, hashing, "rep")), neighbours.cut(neighbours.entries(asked, hashing, "query"))
+    found, made = neighbours.candidates(arrays, roots, len(x), enough, page, pairs)
+    got = {tuple(r) for r in found.collect()}
+    shared = neighbours.shared_bits(hashing.codes(q)[:, None], hashing.codes(x)[None])
+    want = set()
+    for i in range(len(q)):
+        level = next((n for n in range(32, -1, -1) if (shared[i] >= n).sum() >= enough), 0)
+        want |= {(i, j) for j in np.flatnonzero((shared[i] >= level).any(axis=1)).tolist()}
+    assert got == want and len(got) <= made
+    if enough == 900:
+        assert len(got) < len(q) * len(x) / 2
+
+
+@pytest.mark.parametrize("make, share", [(lambda n: np.random.default_rng(2).normal(size=(n, 64)), 0.9), (lambda n: clustered(n, 64), 0.2)])
+@pytest.mark.parametrize("n", [6_000, 24_000])
+def test_recall_and_work(spark, make, share, n, monkeypatch):
+    """Recall at two sizes, of vectors without any structure and of clustered ones; work below queries times vectors."""
+    x = make(n)
+    made = []
+    monkeypatch.setattr(neighbours, "candidates", lambda *a, f=neighbours.candidates: made.append(f(*a)) or made[-1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = neighbours.nearest(df).collect()
+    asked = np.arange(0, n, 100)
+    assert len(got) == 10 * len(asked)
+    hits = 0
+    for i in asked.tolist():
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        hits += len(set(np.argpartition(d, 10)[:10].tolist()) & {r["vec_id"] for r in got if r["query_id"] == i})
+    assert hits / (10 * len(asked)) >= 0.9
+    assert made[0][0].count() < share * n * len(asked)
