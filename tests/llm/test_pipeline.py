@@ -1,49 +1,15 @@
-import re
-
 import public_tokenizers as P
-import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import bpe, mixing, toxicity
 from tests.llm.test_line_dedup import plain as plain_lines
+from tests.llm.test_shingles import near_copies
 from tests.oracle import in_duckdb
 
 SF = "/root/testdata/sf0.001"
 
 
-def five_word_fingerprint(shingles):
-    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def near_copies(rows):
-    """The least id of each component of [(id, text)]: sets of five-word shingles alike to 0.8, or fingerprints of all
-    shingles, repeats included, within three bits; by comparing all pairs."""
-    sets, fps = [], []
-    for _, t in rows:
-        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
-        each = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
-        sets.append(frozenset(each))
-        fps.append(five_word_fingerprint(each))
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if (fps[i] ^ fps[j]).bit_count() <= 3 or both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
-                root[find(i)] = find(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        least[find(i)] = min(least.get(find(i), d), d)
-    return set(least.values())
-
-
 def test_run_is_its_stages_one_by_one(spark, tmp_path):
     """run() against plain versions of the stages; the classifier's weights are taken, its scores made anew."""
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
