@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,7 +52,9 @@ def _in_hadoop(spark: SparkSession, path: str):
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size of a table, from its files; 0 where it has none, as of rows that the driver made."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def cut(df: DataFrame, narrow_of: DataFrame | None = None, by: str | None = None) -> DataFrame:
@@ -88,6 +91,20 @@ def drop(df: DataFrame) -> None:
     _remove(df.sparkSession, df._quern_path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What cut() writes inside is removed at the end, but for the tables that are handed to the function it gives."""
+    before, kept = set(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._quern_path)
+        return df
+
+    yield keep
+    for path in _written - before - kept:
+        _remove(spark, path)
+
+
 #: The setting that row_id() pins, and what it was before in each session that has it pinned.
 SPLITS = "spark.sql.files.minPartitionNum"
 _pinned: list[SparkSession] = []

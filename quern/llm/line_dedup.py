@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quern.llm.common import Q, components, cut, dealt_anew, per_batch, row_id, slices, stored
+from quern.llm.common import Q, components, cut, dealt_anew, drop, per_batch, row_id, scratch, slices, stored
 
 LEADING, FIELDS, AGREE = 3, 8, 0.75
 #: Lines of fewer tokens and bytes are short: chance repeats them, so they recur only from OFTEN documents on.
@@ -113,18 +113,19 @@ def agreeing(exact: DataFrame) -> DataFrame:
 
 def recurring(parsed: DataFrame, docs_at_least: int = DOCS) -> DataFrame:
     """(row, line) of the lines to drop. parsed: lines(), cut."""
-    exact = parsed.groupBy("leaf", "exact").agg(F.sum(F.col("first").cast("long")).alias("n"), *(F.first(c).alias(c) for c in ("fields", "text", "long", "short")))
-    exact = cut(exact, parsed)
-    roots = dealt_anew(agreeing(exact).withColumnRenamed("node", "exact"), "exact")
-    templates = exact.join(roots, "exact", "left").select("leaf", "exact", "n", "text", "long", "short", F.coalesce("root", "exact").alias("template"))
-    # Documents that a template and that an exact line needs. Templates that no count can bring there end here.
-    same = min(SAME, docs_at_least)
-    sizes = templates.groupBy("leaf", "template").agg(F.sum("n").alias("most"), F.count(F.lit(1)).alias("lines"), F.every("text").alias("t"), F.every("long").alias("l"), F.every("short").alias("s"))
-    sizes = sizes.withColumn("need", F.when(F.col("s"), max(OFTEN, docs_at_least)).when(F.col("l") | (F.col("t") & (F.col("lines") == 1)), same).otherwise(docs_at_least)).filter(F.col("most") >= F.when(F.col("s"), F.col("need")).otherwise(same))
-    alone = (F.col("lines") > 1) & F.col("text") & (F.col("n") >= same)
-    templates = templates.join(dealt_anew(sizes.select("leaf", "template", "lines", "need"), "leaf", "template"), ["leaf", "template"]).select("leaf", "exact", "template", "need", alone.alias("alone"))
-    at = [f"{Q}row", f"{Q}id", "line"]
-    placed = cut(parsed.join(templates, ["leaf", "exact"]).select("leaf", "exact", "template", "need", "alone", "first", *at), parsed)
+    with scratch(parsed.sparkSession) as keep:
+        exact = parsed.groupBy("leaf", "exact").agg(F.sum(F.col("first").cast("long")).alias("n"), *(F.first(c).alias(c) for c in ("fields", "text", "long", "short")))
+        exact = cut(exact, parsed)
+        roots = dealt_anew(agreeing(exact).withColumnRenamed("node", "exact"), "exact")
+        templates = exact.join(roots, "exact", "left").select("leaf", "exact", "n", "text", "long", "short", F.coalesce("root", "exact").alias("template"))
+        # Documents that a template and that an exact line needs. Templates that no count can bring there end here.
+        same = min(SAME, docs_at_least)
+        sizes = templates.groupBy("leaf", "template").agg(F.sum("n").alias("most"), F.count(F.lit(1)).alias("lines"), F.every("text").alias("t"), F.every("long").alias("l"), F.every("short").alias("s"))
+        sizes = sizes.withColumn("need", F.when(F.col("s"), max(OFTEN, docs_at_least)).when(F.col("l") | (F.col("t") & (F.col("lines") == 1)), same).otherwise(docs_at_least)).filter(F.col("most") >= F.when(F.col("s"), F.col("need")).otherwise(same))
+        alone = (F.col("lines") > 1) & F.col("text") & (F.col("n") >= same)
+        templates = templates.join(dealt_anew(sizes.select("leaf", "template", "lines", "need"), "leaf", "template"), ["leaf", "template"]).select("leaf", "exact", "template", "need", alone.alias("alone"))
+        at = [f"{Q}row", f"{Q}id", "line"]
+        placed = keep(cut(parsed.join(templates, ["leaf", "exact"]).select("leaf", "exact", "template", "need", "alone", "first", *at), parsed))
     place = F.struct(F.col(f"{Q}id").isNull().alias("none"), F.col(f"{Q}id").alias("id"), F.col(f"{Q}row").alias("row"), F.col("line").alias("line"))
     firsts = placed.filter("first")
     per_doc = firsts.groupBy("leaf", "template", f"{Q}row").agg(F.min(f"{Q}id").alias(f"{Q}id"), F.min("line").alias("line"), F.first("need").alias("need"))
@@ -146,7 +147,10 @@ def without_recurring(docs: DataFrame, text: str = "text", id: str = "doc_id", d
     add, the number of lines and of lines dropped. An empty table gives an empty result.
     """
     docs = stored(docs)
-    drops = recurring(cut(lines(docs, text, id), docs), docs_at_least).groupBy(f"{Q}row").agg(F.collect_list("line").alias(f"{Q}drops"))
+    parsed = cut(lines(docs, text, id), docs)
+    drops = recurring(parsed, docs_at_least)
+    drop(parsed)
+    drops = drops.groupBy(f"{Q}row").agg(F.collect_list("line").alias(f"{Q}drops"))
     rows = docs.drop(*(counts or ())).withColumn(f"{Q}row", row_id()).join(drops, f"{Q}row", "left").drop(f"{Q}row")
     at, kept = rows.columns.index(text), [x for x in rows.columns if x != f"{Q}drops"]
     drops_at = rows.columns.index(f"{Q}drops")

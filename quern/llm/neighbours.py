@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Q, cut
+from quern.llm.common import Q, cut, scratch
 
 TREES, BITS, SEED = 80, 32, 5
 #: The sample that the ascent is fitted on: queries, whose nearest are found by comparing all, and vectors; the share of
@@ -268,25 +268,26 @@ def nearest(
     share of a sample's nearest that the ascent is fitted to gather; above 1, all vectors are candidates.
     """
     rows = _usable(df, id, vector)
-    # Equal vectors: the k + 1 least ids are enough, as one may be the query's own. Spark keeps no more than
-    # that of each group in each task before it shuffles them.
-    least = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("n") <= k + 1)
-    groups = cut(least.groupBy("v").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids")))
-    # Rows may share an id and not the vector: entries are named by their place.
-    groups = cut(groups.withColumn("rep", F.monotonically_increasing_id()), df)
     asked = rows.filter(F.col("id") % every == 0)
-    queries = cut(asked.groupBy("v").agg(F.min("id").alias("query")))
-    queries = cut(queries.withColumn("query", F.monotonically_increasing_id()), df)
-    n = groups.count()
-    hashing, gather = fitted(groups, queries, n, k, recall)
-    enough = gather * TREES if recall <= 1 else float("inf")
-    arrays, roots = cut(entries(groups, hashing, "rep")), cut(entries(queries, hashing, "query"))
-    found, made = candidates(arrays, roots, n, enough, page, pairs)
-    shards = max(1, -(-n // shard))
-    blocks = max(1, int(made * 16 // (shards * QUERY_BYTES)))
-    nearby = ranked(groups, queries, found, shards, blocks, k + 1)
-    best = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
-    top = cut(nearby.withColumn("n", best).filter(F.col("n") <= k + 1).select("query", "vec_id", "score", "n"), df)
+    with scratch(df.sparkSession) as keep:
+        # Equal vectors: the k + 1 least ids are enough, as one may be the query's own. Spark keeps no more than
+        # that of each group in each task before it shuffles them.
+        least = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("n") <= k + 1)
+        groups = cut(least.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+        # Rows may share an id and not the vector: vectors are named by their place in a table.
+        groups = cut(groups.withColumn("rep", F.monotonically_increasing_id()), df)
+        queries = cut(asked.select("v").distinct())
+        queries = keep(cut(queries.withColumn("query", F.monotonically_increasing_id()), df))
+        n = groups.count()
+        hashing, gather = fitted(groups, queries, n, k, recall)
+        enough = gather * TREES if recall <= 1 else float("inf")
+        arrays, roots = cut(entries(groups, hashing, "rep")), cut(entries(queries, hashing, "query"))
+        found, made = candidates(arrays, roots, n, enough, page, pairs)
+        shards = max(1, -(-n // shard))
+        blocks = max(1, int(made * 16 // (shards * QUERY_BYTES)))
+        nearby = ranked(groups, queries, found, shards, blocks, k + 1)
+        best = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
+        top = keep(cut(nearby.withColumn("n", best).filter(F.col("n") <= k + 1).select("query", "vec_id", "score", "n"), df))
     answers = top.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id", "n"))).alias(f"{Q}found"))
     # A row for each query: its vector's answers without one entry of its own id, then numbered.
     own = asked.join(queries, "v").select(F.col("id").alias("query_id"), "query").join(answers, "query")
