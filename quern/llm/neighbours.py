@@ -10,9 +10,13 @@ Each tree is built once, over all vectors, and lies in pages: the entries that s
 one page of each tree, counts there how many entries share each longer prefix with it, and the counts of all trees
 give the length at which its ascent ends; a query that its pages don't hold enough for goes on in pages of half as many
 bits. Then the entries of that length are its candidates, and its vector is sent only to the shards that hold some. So
-the work grows with queries times the entries gathered. How many are enough is fitted on a bounded sample of queries
-and vectors: where vectors have structure, that is a few dozen a tree, however many vectors there are. Vectors without any
-(whose distances concentrate) take a fixed share of all, by this as by any other method.
+the work grows with queries times the entries gathered.
+
+How many entries are enough is fitted on a bounded sample of queries and vectors. Where vectors have structure, that is
+a few dozen a tree, however many vectors there are. Vectors without any (whose distances concentrate) take a fixed
+share of all, by this as by any other method; where it is over 1/FEW of them, sending a row for each candidate costs more
+than meeting all shards, so each shard of vectors gets a forest of its own then, in which each query descends and ascends
+by itself, to its share of the entries.
 
 No task holds more than a part of a page, or of a shard: crowded pages are dealt to parts, their queries likewise,
 until a task makes at most PAIRS. Nothing that grows with the data is broadcast. Equal vectors are one entry: of a
@@ -37,6 +41,8 @@ TREES, BITS, SEED = 80, 32, 5
 FIT_QUERIES, FIT_VECTORS, RECALL, LEAST = 128, 4_096, 0.95, 30
 #: Entries of a page, vectors of a shard, pairs of a query and an entry that a task makes, bytes of queries in a shard.
 PAGE, SHARD, PAIRS, QUERY_BYTES = 32_768, 8_192, 1 << 22, 1 << 26
+#: Candidates are sent as rows where they are at most 1/FEW of all vectors; else blocks of about BLOCK queries meet shards.
+FEW, BLOCK = 4, 16_384
 LEVELS = [f"n{i}" for i in range(BITS + 1)]
 
 
@@ -248,6 +254,54 @@ def ranked(groups: DataFrame, queries: DataFrame, pairs: DataFrame, shards: int,
     return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(rank, "query long, vec_id long, score double")
 
 
+def scanned(groups: DataFrame, queries: DataFrame, hashing: Hashing, enough: float, shards: int, blocks: int, k: int) -> DataFrame:
+    """(query, vec_id, score) of each query's k nearest in each shard, by a forest of the shard's vectors. enough: entries
+    in all of its trees together at which an ascent ends."""
+
+    def each(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    left = groups.select(F.pmod(F.xxhash64("rep"), F.lit(shards)).alias("shard"), each(blocks).alias("block"), "v", "ids")
+    right = queries.select(each(shards).alias("shard"), F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"), "query", "v")
+
+    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = {"query": [], "vec_id": [], "score": []}
+        mine, asked = (by_length(_list(x["v"].to_list())) for x in (left, right))
+        for dim in asked.keys() & mine.keys():
+            (at, x), (of, q) = mine[dim], asked[dim]
+            ids, names = [left["ids"].iloc[i] for i in at], right["query"].to_numpy()[of]
+            codes, goal = hashing.codes(x), hashing.codes(q)
+            order = np.argsort(codes, axis=0, kind="stable")
+            codes = np.take_along_axis(codes, order, axis=0)
+            lo, hi = np.zeros((2, TREES, len(q)), np.int64)
+            open_ = np.arange(len(q))
+            for length in range(BITS, -1, -1):  # from the longest prefixes up, in all trees at once
+                rest = np.uint32((1 << (BITS - length)) - 1)
+                for t in range(TREES):
+                    c = goal[open_, t]
+                    lo[t, open_] = np.searchsorted(codes[:, t], c & ~rest, "left")
+                    hi[t, open_] = np.searchsorted(codes[:, t], c | rest, "right")
+                open_ = open_[(hi - lo)[:, open_].sum(axis=0) < enough]
+                if not len(open_):
+                    break
+            for i, v in enumerate(q):
+                seen = np.zeros(len(x), bool)
+                for t in range(TREES):
+                    seen[order[lo[t, i] : hi[t, i], t]] = True
+                rows = np.flatnonzero(seen)
+                d = np.sqrt(((x[rows] - v) ** 2).sum(axis=1))
+                if len(d) > k:
+                    near = d <= np.partition(d, k - 1)[k - 1]
+                    rows, d = rows[near], d[near]
+                best = sorted((s, n) for r, s in zip(rows.tolist(), d.tolist()) for n in ids[r])[:k]
+                out["query"] += [names[i]] * len(best)
+                out["vec_id"] += [n for _, n in best]
+                out["score"] += [s for s, _ in best]
+        return pd.DataFrame(out)
+
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(scan, "query long, vec_id long, score double")
+
+
 def nearest(
     df: DataFrame,
     id: str = "vec_id",
@@ -258,6 +312,8 @@ def nearest(
     page: int = PAGE,
     shard: int = SHARD,
     pairs: int = PAIRS,
+    block: int = BLOCK,
+    routed: bool | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, ranks from 1, score the distance.
 
@@ -265,7 +321,8 @@ def nearest(
     the smaller id. Vectors that are null, empty or zero, or hold a null, NaN or infinite component, and null
     ids, take no part; vectors of another length than the query's aren't its candidates. Rows that repeat an
     id are candidates each, and a query that repeats is answered each time. An empty table gives no rows. recall: the
-    share of a sample's nearest that the ascent is fitted to gather; above 1, all vectors are candidates.
+    share of a sample's nearest that the ascent is fitted to gather; above 1, all vectors are candidates. routed: whether
+    candidates are sent as rows, by default where they are few.
     """
     rows = _usable(df, id, vector)
     asked = rows.filter(F.col("id") % every == 0)
@@ -281,11 +338,13 @@ def nearest(
         n = groups.count()
         hashing, gather = fitted(groups, queries, n, k, recall)
         enough = gather * TREES if recall <= 1 else float("inf")
-        arrays, roots = cut(entries(groups, hashing, "rep")), cut(entries(queries, hashing, "query"))
-        found, made = candidates(arrays, roots, n, enough, page, pairs)
         shards = max(1, -(-n // shard))
-        blocks = max(1, int(made * 16 // (shards * QUERY_BYTES)))
-        nearby = ranked(groups, queries, found, shards, blocks, k + 1)
+        if routed if routed is not None else 2 * enough * FEW <= n:
+            arrays, roots = cut(entries(groups, hashing, "rep")), cut(entries(queries, hashing, "query"))
+            found, made = candidates(arrays, roots, n, enough, page, pairs)
+            nearby = ranked(groups, queries, found, shards, max(1, int(made * 16 // (shards * QUERY_BYTES))), k + 1)
+        else:
+            nearby = scanned(groups, queries, hashing, enough / shards, shards, max(1, -(-queries.count() // block)), k + 1)
         best = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
         top = keep(cut(nearby.withColumn("n", best).filter(F.col("n") <= k + 1).select("query", "vec_id", "score", "n"), df))
     answers = top.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id", "n"))).alias(f"{Q}found"))

@@ -38,14 +38,14 @@ def test_recall_on_the_whole_table(spark):
     assert all(r["score"] == pytest.approx(np.linalg.norm(at[r["query_id"]] - at[r["vec_id"]]), rel=1e-12) for r in got)
 
 
-@pytest.mark.parametrize("page, shard, pairs", [(32768, 8192, 1 << 22), (20, 40, 100)])
-def test_exact_when_all_are_candidates(spark, page, shard, pairs):
+@pytest.mark.parametrize("routed, page, shard, pairs, block", [(True, 32768, 8192, 1 << 22, 9), (True, 20, 40, 100, 9), (False, 0, 8192, 0, 2048), (False, 0, 40, 0, 3)])
+def test_exact_when_all_are_candidates(spark, routed, page, shard, pairs, block):
     r = random.Random(4)
     rows = [(i, [r.choice([-1.0, 0.5, 2.0]) for _ in range(4)]) for i in range(300)]  # ties and equal vectors
     rows += [(500 + i, [1.0, 1.0, 1.0, 1.0]) for i in range(200)] + [(800, [1.0, 1.0, 1.0, 1.0])]  # a hot vector
     rows += [(900, [1.0, 2.0]), (901, [1.5, 2.0]), (1000, None), (1100, []), (1200, [0.0] * 4), (1300, [1.0, None, 1.0, 1.0]), (1400, [float("nan")] * 4), (1500, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (1600, [3.0, 3.0, 3.0])]
     df = spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], SCHEMA)
-    close(neighbours.nearest(df, recall=2, page=page, shard=shard, pairs=pairs).collect(), plain(rows))
+    close(neighbours.nearest(df, recall=2, page=page, shard=shard, pairs=pairs, block=block, routed=routed).collect(), plain(rows))
 
 
 def test_repeated_rows_and_empty_tables(spark):
@@ -86,15 +86,15 @@ def test_ascent_is_one_level_for_all_trees(spark, page, pairs, enough):
         assert len(got) < len(q) * len(x) / 2
 
 
-@pytest.mark.parametrize("make, share", [(lambda n: np.random.default_rng(2).normal(size=(n, 64)), 0.9), (lambda n: clustered(n, 64), 0.2)])
+@pytest.mark.parametrize("make, routed", [(lambda n: np.random.default_rng(2).normal(size=(n, 64)), None), (lambda n: clustered(n, 64), True)])
 @pytest.mark.parametrize("n", [6_000, 24_000])
-def test_recall_and_work(spark, make, share, n, monkeypatch):
+def test_recall_and_work(spark, make, routed, n, monkeypatch):
     """Recall at two sizes, of vectors without any structure and of clustered ones; work below queries times vectors."""
     x = make(n)
     made = []
-    monkeypatch.setattr(neighbours, "candidates", lambda *a, f=neighbours.candidates: made.append(f(*a)) or made[-1])
+    monkeypatch.setattr(neighbours, "candidates", lambda *a, f=neighbours.candidates: (r := f(*a), made.append(r[0].count()))[0])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
-    got = neighbours.nearest(df).collect()
+    got = neighbours.nearest(df, routed=routed).collect()
     asked = np.arange(0, n, 100)
     assert len(got) == 10 * len(asked)
     hits = 0
@@ -103,4 +103,6 @@ def test_recall_and_work(spark, make, share, n, monkeypatch):
         d[i] = np.inf
         hits += len(set(np.argpartition(d, 10)[:10].tolist()) & {r["vec_id"] for r in got if r["query_id"] == i})
     assert hits / (10 * len(asked)) >= 0.9
-    assert made[0][0].count() < share * n * len(asked)
+    assert bool(made) == bool(routed)  # by default, vectors without structure meet all shards
+    if made:
+        assert made[0] < 0.2 * n * len(asked)
