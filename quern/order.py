@@ -43,9 +43,18 @@ def bucket_offsets(totals: DataFrame) -> DataFrame:
     return totals.select("__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
 
 
-def running_sum(df: DataFrame, pos: str, amount: Column, out: str, bucket: int = BUCKET, inclusive: bool = True) -> DataFrame:
-    """df and the running sum of amount along pos. pos: unique ordinals that are dense, or nearly so: a bucket then
-    holds at most ``bucket`` rows, and there are few of them. Rows of a null ordinal come first."""
+def running_sum(df: DataFrame, pos: str, amount: Column, out: str, bucket: int = BUCKET, inclusive: bool = True, by: str | None = None) -> DataFrame:
+    """df and the running sum of amount along pos, restarted for each value of by. pos: unique ordinals that are dense, or
+    nearly so: a bucket then holds at most ``bucket`` rows, and there are few of them. Rows of a null ordinal come first."""
+    if by:
+        key = F.struct(by).alias("__g")  # a null is a value like others
+        df = df.withColumns({"__g": key, "__b": bucket_of(pos, bucket), "__a": amount})
+        totals = df.groupBy("__g", "__b").agg(F.sum("__a").alias("__t"))
+        before = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select("__g", "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
+        local = Window.partitionBy("__g", "__b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        summed = df.withColumn("__s", F.coalesce(F.sum("__a").over(local), F.lit(0))).join(offsets, ["__g", "__b"])
+        return summed.withColumn(out, F.col("__s") + F.col("__o")).drop("__g", "__b", "__a", "__s", "__o")
     local = Window.partitionBy("__b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     offsets = bucket_offsets(bucket_totals(df, pos, amount, bucket))
     summed = df.withColumns({"__b": bucket_of(pos, bucket), "__a": amount}).withColumn("__s", F.coalesce(F.sum("__a").over(local), F.lit(0)))
@@ -70,15 +79,34 @@ def range_offsets(dealt: DataFrame) -> DataFrame:
     return sizes.select("__p", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
 
 
+def indexed_in_buckets(df: DataFrame, by: list[str], out: str, bucket: int = BUCKET) -> DataFrame:
+    """The same as indexed() by running counts: of rows with smaller keys, and along the last column among equal ones."""
+    one = F.lit(1).cast("long")
+    if len(by) == 1:
+        return running_sum(df, by[0], one, out, bucket, False)
+    key, pos = by
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = running_sum(sizes, key, F.col("__n"), "__below", bucket, False).select(F.struct(key).alias("__k"), "__below")
+    ranked = running_sum(df, pos, one, "__within", bucket, False, key).withColumn("__k", F.struct(key))
+    return ranked.join(sizes, "__k").withColumn(out, F.col("__below") + F.col("__within")).drop("__k", "__below", "__within")
+
+
+def _cached(df: DataFrame) -> bool:
+    return "InMemoryRelation" in df._jdf.queryExecution().withCachedData().toString()
+
+
 def indexed(df: DataFrame, by: list[str], out: str, single: bool) -> DataFrame:
     """df and each row's index in the order of the columns by, from 0; nulls come first.
 
-    single: by one window. Otherwise rows are shuffled once, by range, and sorted there; a row's index is its place
+    single: by one window. Rows of a cached table, above which Spark runs equal exchanges twice, are counted in buckets.
+    Otherwise rows are shuffled once, by range, and sorted there; a row's index is its place
     in its partition after the sizes of those before. Keys may be hot, by is to be unique as a whole. An index is only
     given out while it is below its partition's counted size, so that ranges that didn't agree would raise.
     """
     if single:
         return df.withColumn(out, (F.row_number().over(Window.orderBy(*by)) - 1).cast("long"))
+    if _cached(df):
+        return indexed_in_buckets(df, by, out)
     dealt = dealt_by_range(df, by)
     at = dealt.sortWithinPartitions(*by).withColumn("__i", F.monotonically_increasing_id())
     at = at.withColumns({"__p": F.shiftright("__i", 33).cast("int"), "__i": F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))})
