@@ -1,11 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
 import corpus_pipeline
 from quern.llm import shingles
+from quern.llm.common import Q
 
 
 def five_word_fingerprint(shingles):
@@ -76,6 +78,55 @@ def crowd():
     return [" ".join(t) for t in texts]
 
 
+def crowded_keys(n=800):
+    """n texts whose sets are alike to 0.77 by a common page, so that all min-wise keys are crowded, and a near copy of each
+    tenth, alike to 0.81. A word of its own, repeated, gives each text a fingerprint far from all others."""
+    r = random.Random(3)
+    page = [f"p{k}" for k in range(300)]
+    texts = []
+    for k in range(n):
+        own = [f"o{k}x{i}" for i in range(35)]
+        texts.append([*page, *own, *[f"r{k}"] * 400])
+        if k % 10 == 0:
+            texts.append([*page, *own[:11], *(f"c{k}x{i}" for i in range(24)), *[f"s{k}"] * 400])
+    r.shuffle(texts)
+    return [" ".join(t) for t in texts]
+
+
+def stage(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    kept = corpus_pipeline.drop_copies(spark, spark.read.parquet(str(tmp_path / "d")), "")
+    return {r["doc_id"] for r in kept.collect()}
+
+
+def test_stage_finds_all_pairs_at_crowded_keys(spark, tmp_path):
+    rows = list(enumerate(crowded_keys()))
+    assert stage(spark, tmp_path, rows) == near_copies(rows)
+
+
+@pytest.mark.parametrize("make", [corpus, crowd])
+def test_prefixes_find_all_pairs_by_themselves(spark, tmp_path, monkeypatch, make):
+    """The min-wise keys only save work."""
+    monkeypatch.setattr(shingles, "similar", lambda docs, banded, text: banded.limit(0).selectExpr(f"{Q}fp AS a", f"{Q}fp AS b"))
+    rows = list(enumerate(make()))
+    assert stage(spark, tmp_path, rows) == near_copies(rows)
+
+
+def test_prefixes_of_similar_sets_meet():
+    """At exactly the similarity, and at places that the filters pass; whatever is known of the order."""
+    r = np.random.default_rng(2)
+    for both in range(1, 200):
+        each = r.permutation(np.arange(1, 400, dtype=np.uint64))
+        most = both // 4  # so many others leave the similarity at 0.8 or above
+        for more in {0, most // 2, most}:
+            x, y = np.sort(each[: both + more]), np.sort(np.concatenate([each[:both], each[both + more : both + most]]))
+            x, y = sorted((x, y), key=len)
+            values = np.sort(r.choice(each, 100, replace=False))
+            a, b = (shingles.prefix(s, values, (values % 7 + 3).astype(np.int64)) for s in (x, y))
+            places = [(p, b.tolist().index(v)) for p, v in enumerate(a.tolist()) if v in b]
+            assert any(9 * (len(x) - p) >= 8 * len(x) and 9 * min(len(x) - p, len(y) - q) >= 4 * (len(x) + len(y)) for p, q in places)
+
+
 @pytest.mark.parametrize("make", [corpus, crowd])
 def test_stage_finds_all_pairs_of_similarity(spark, tmp_path, make):
     rows = list(enumerate(make()))
