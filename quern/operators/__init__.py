@@ -8,6 +8,6 @@ from quern.operators.ranks import dense
 from quern.operators.reduce import reduce
 from quern.operators.run_length import run_length_encode
 from quern.operators.scan import scan
-from quern.operators.sort import sort
+from quern.operators.sort import key_width, sort
 
-__all__ = ["argmin_by_key", "compact", "compact_with", "dense", "histogram", "mask", "masks", "reduce", "run_length_encode", "scan", "selected_count", "sort"]
+__all__ = ["argmin_by_key", "compact", "compact_with", "dense", "histogram", "key_width", "mask", "masks", "reduce", "run_length_encode", "scan", "selected_count", "sort"]
