@@ -38,6 +38,10 @@ class Profile:
     def labelled(self, prefix: str) -> list[Span]:
         return [s for s in self.spans if s.label.startswith(prefix)]
 
+    def of_any_size(self) -> list[Span]:
+        """The spans that a chain has whether its rows take one window or not: all but those of DEALT."""
+        return [s for s in self.spans if s.label not in DEALT]
+
 
 def _tasks(sc, group: str) -> int:
     tracker = sc.statusTracker()
@@ -85,6 +89,9 @@ def phases(label: str, seq: Sequence, bucket: int = BUCKET, strategy: str = "aut
     return []
 
 
+#: Phases of which rows in one window have no need.
+DEALT = {"scan.level.0", "scan.level.1", "run_length.scan.level.0", "sort.range"}
+
 #: Label of the span in which an operator's result is made.
 RESULT = {"scan": "scan.add.0", "run_length": "run_length.finalize", "sort": "sort.within", "compact": "compact.scatter", "histogram": "histogram.count"}
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quern import errors
 from quern import operators as ops
 from quern import queries as catalogue
+from quern.plans.profile import profile_steps
 from quern.sequence import Lazy
 from quern.sources import from_list, from_records, to_list
 from tests.oracle import same
@@ -53,3 +54,16 @@ def test_a_lazy_width_is_a_checked_contract(spark):
         ops.sort(q, key_bits=33)
     got = ops.dense(ops.sort(q, key_bits=Lazy(spark.createDataFrame([(17,)], "n long"))), "rank", "range")
     assert sorted(tuple(r) for r in got.select("rank", "key", "value").collect()) == [(0, 3, 2), (1, 70000, 1)]
+
+
+@pytest.mark.parametrize("bytes_", [1000, 30_000, 16 << 20])
+def test_profile_has_the_same_spans_at_any_size(spark, repeated, monkeypatch, bytes_):
+    """Beyond one window the sort and the runs have phases of their own, which aren't among the query's."""
+    monkeypatch.setattr("quern.order.SINGLE_BYTES", bytes_)
+    in_duckdb_too(spark, repeated, "profile_pipeline")
+
+
+def test_spans_of_phases_beyond_one_window_stay_in_the_profile(spark):
+    q = from_list(spark, list(range(100)))
+    got = profile_steps(q, [("sort", ops.sort)], bucket=8, strategy="buckets")
+    assert [s.label for s in got.spans] == ["sort.range", "sort.within"] and [s.label for s in got.of_any_size()] == ["sort.within"]
