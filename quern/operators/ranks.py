@@ -12,7 +12,7 @@ from quern.sequence import Sequence
 def dense(seq: Sequence, out: str = "dst", strategy: str = "auto") -> DataFrame:
     """The rows with their index in the sequence's order, from 0.
 
-    strategy: "window" (one task), "range" (one range shuffle of the rows), or "auto". Dense ordinals that no sort
+    strategy: "window" (one task, if the rows fit one), "range" (one range shuffle of the rows), or "auto". Dense ordinals that no sort
     has left behind are the index as they are.
     """
     seq.needs_order("dense")

@@ -12,7 +12,7 @@ REINDEX = {"window": "window", "buckets": "range", "auto": "auto"}
 
 
 def scan(seq: Sequence, inclusive: bool = True, strategy: str = "auto", bucket: int = BUCKET) -> Sequence:
-    """strategy: "window" (one task), "buckets" (two-phase), or "auto" by the known capacity.
+    """strategy: "window" (one task, if the rows fit one), "buckets" (two-phase), or "auto" by the known capacity.
 
     The result has dense ordinals, whatever the input had. Running sums are carried as LONGs; below 2^31 elements
     they can't overflow, nor can the totals below 2^31 elements in all.

@@ -23,8 +23,10 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def one_window(rows: DataFrame, n: int | None, strategy: str) -> bool:
-    if strategy != "auto":
-        return strategy == "window"
+    """Whether the rows go through one task: not by "range" or "buckets", and by "window" or "auto" while they fit one.
+    Rows of an unknown size don't."""
+    if strategy not in ("auto", "window"):
+        return False
     return n <= SINGLE_WINDOW if n is not None else estimated_bytes(rows) <= SINGLE_BYTES
 
 

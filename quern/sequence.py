@@ -77,7 +77,7 @@ class Sequence:
     def reindexed(self, strategy: str = "auto") -> "Sequence":
         """The same elements with pos dense from 0 in the sequence's order; itself if that is so already.
 
-        strategy: "window" (one task), "range" (one range shuffle), or "auto" by the known capacity or plan size.
+        strategy: "window" (one task, if the rows fit one), "range" (one range shuffle), or "auto" by the known capacity or plan size.
         """
         self.needs_order("reindexed")
         if self.dense and not self.sorted_by:

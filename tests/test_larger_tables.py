@@ -7,8 +7,8 @@ from quern import errors
 from quern import operators as ops
 from quern import queries as catalogue
 from quern.plans.profile import profile_steps
-from quern.sequence import Lazy
-from quern.sources import from_list, from_records, to_list
+from quern.sequence import Lazy, Sequence
+from quern.sources import from_list, from_records, from_table, to_list
 from tests.oracle import same
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +67,57 @@ def test_spans_of_phases_beyond_one_window_stay_in_the_profile(spark):
     q = from_list(spark, list(range(100)))
     got = profile_steps(q, [("sort", ops.sort)], bucket=8, strategy="buckets")
     assert [s.label for s in got.spans] == ["sort.range", "sort.within"] and [s.label for s in got.of_any_size()] == ["sort.within"]
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_window_only_while_rows_fit_a_task(spark, repeated, monkeypatch):
+    """Asked for or not: beyond, scans and runs go through buckets and places through ranges, to the same end."""
+    q = catalogue.events(spark, repeated)
+    made = {
+        "hashpartitioning(__b": lambda: catalogue.QUERIES["scan_single_window"](spark, repeated),
+        "hashpartitioning(__k": lambda: ops.run_length_encode(q, "window"),
+        "rangepartitioning(": lambda: ops.dense(ops.sort(q), "rank", "window"),
+    }
+    small = {dealt: make() for dealt, make in made.items()}
+    assert all("SinglePartition" in executed(df) and dealt not in executed(df) for dealt, df in small.items())
+    want = [sorted(map(tuple, df.collect())) for df in small.values()]
+    monkeypatch.setattr("quern.order.SINGLE_BYTES", 1000)
+    assert all(dealt in executed(make()) for dealt, make in made.items())
+    assert [sorted(map(tuple, make().collect())) for make in made.values()] == want
+    in_duckdb_too(spark, repeated, "scan_single_window")
+
+
+def test_a_known_capacity_bounds_a_window_too(spark, monkeypatch):
+    q = from_list(spark, list(range(9)))
+    assert "hashpartitioning(__b" not in executed(ops.scan(q, strategy="window").df)
+    monkeypatch.setattr("quern.order.SINGLE_WINDOW", 8)
+    got = ops.scan(q, strategy="window")
+    assert "hashpartitioning(__b" in executed(got.df) and to_list(got) == [0, 1, 3, 6, 10, 15, 21, 28, 36]
+
+
+@pytest.mark.parametrize("rows", [[(0, 5), (None, 3), (1, 5)], [(4, None), (7, 1), (9, None), (11, None)], [(None, None)]])
+def test_nulls_in_a_window_of_known_capacity(spark, rows):
+    q = from_table(spark.createDataFrame(rows, "p long, v long"), value="v", order_by="p", capacity=len(rows))
+    for s in (q, ops.sort(q)):
+        assert "rangepartitioning" not in executed(ops.dense(s, "i", "window"))
+        a, b = ([tuple(r) for r in ops.dense(s, "i", x).orderBy("i").collect()] for x in ("window", "range"))
+        assert a == b and len(a) == len(rows)
+    for f in (lambda x: ops.scan(q, strategy=x, bucket=2).df, lambda x: ops.run_length_encode(q, x, 2)):
+        assert "hashpartitioning(__" not in executed(f("window"))
+        a, b = (sorted(map(str, f(x).collect())) for x in ("window", "buckets"))
+        assert a == b
+
+
+def test_cached_rows_in_a_window_of_known_capacity(spark):
+    kv = [(None if i % 50 == 0 else 7 if i % 3 else i % 40, i) for i in range(2000)]
+    rows = spark.createDataFrame([(i, k, x) for i, (k, x) in enumerate(kv)], "pos long, key long, value long").persist()
+    try:
+        q = ops.sort(Sequence(rows, ("key", "value"), capacity=len(kv)))
+        assert "hashpartitioning" not in executed(ops.dense(q, "rank", "window"))
+        a, b = ([tuple(r) for r in ops.dense(q, "rank", how).orderBy("rank").collect()] for how in ("window", "range"))
+        assert a == b and len(a) == len(kv)
+    finally:
+        rows.unpersist()
